@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from tessella.llm import exact, simhash
+from tessella.llm import chat, exact, langid, packing, quality, simhash, warc
 
 QUERIES = {
     "op1_simhash": simhash.op1,
     "op2_exact_dedup": exact.op2,
+    "op4_chat_format": chat.op4,
+    "op5_warc": warc.op5,
+    "op7_language_id": langid.op7,
+    "op9_packing": packing.op9,
+    "op10_quality": quality.op10,
 }
 ORACLES = {
     "op2_exact_dedup": exact.OP2_SQL,
+    "op4_chat_format": chat.OP4_SQL,
+    "op5_warc": warc.OP5_SQL,
 }
