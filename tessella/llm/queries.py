@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from tessella.llm import chat, exact, langid, packing, quality, simhash, warc
+from tessella.llm import ann, chat, exact, kneser, langid, packing, quality, simhash, warc
 
 QUERIES = {
     "op1_simhash": simhash.op1,
     "op2_exact_dedup": exact.op2,
     "op4_chat_format": chat.op4,
     "op5_warc": warc.op5,
+    "op6_nearest": ann.op6,
     "op7_language_id": langid.op7,
+    "op8_kneser_ney": kneser.op8,
     "op9_packing": packing.op9,
     "op10_quality": quality.op10,
 }
