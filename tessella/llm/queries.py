@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tessella.llm import ann, chat, exact, kneser, langid, packing, quality, simhash, warc
+from tessella.llm import ann, bpe, chat, exact, kneser, langid, packing, quality, simhash, warc
 
 QUERIES = {
     "op1_simhash": simhash.op1,
     "op2_exact_dedup": exact.op2,
+    "op3_byte_bpe": bpe.op3,
     "op4_chat_format": chat.op4,
     "op5_warc": warc.op5,
     "op6_nearest": ann.op6,
