@@ -171,6 +171,18 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def keep_known(docs: DataFrame, model: Model, least: float) -> DataFrame:
+    """The rows of docs with a learnt language of calibrated probability `least` or more; all columns as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch in batches:
+            got = [shared.value.predict(t.as_py()) for t in batch.column(batch.schema.get_field_index("text"))]
+            yield batch.filter(pa.array([lang != NO_LANGUAGE and p >= least for lang, p in got], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op7(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = crc_mod(F.col("doc_id"), 4) == 2

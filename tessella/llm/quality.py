@@ -170,6 +170,19 @@ def score_quality(docs: DataFrame, labels: DataFrame, most: int = LABELLED_MOST)
     return _scored(stats, fit(stats, labels, most))
 
 
+def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs whose whole text scores the threshold at least; all columns as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                stats = np.stack([statistics(t.as_py()) for t in batch.column(batch.schema.get_field_index("text"))])
+                yield batch.filter(pa.array(shared.value.score(stats) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def train_labels(labels: DataFrame) -> DataFrame:
     return labels.where(crc_mod(F.col("doc_id"), 5) > 0).select("doc_id", F.col("quality").alias("label"))
 

@@ -38,15 +38,19 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     return int(np.packbits(2 * counts > n).view(">u8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """(doc_id, fp): the fingerprint of each whole text as a signed 64-bit integer; null texts count as empty."""
+def fingerprints(docs: DataFrame, words: int = 3, carry: str | None = None) -> DataFrame:
+    """(doc_id, fp, key): the fingerprint of each whole text as a signed 64-bit integer; null texts count as empty.
+
+    `carry` names a string column of docs that comes along as key.
+    """
 
     def run(batches):
         for batch in batches:
             fps = np.fromiter((fingerprint(t.as_py(), words) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), batch.column(2)], ["doc_id", "fp", "key"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    key = F.col(carry) if carry else F.lit(None)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), key.cast("string").alias("key")).mapInArrow(run, "doc_id long, fp long, key string")
 
 
 def gray_rank(fp: Column) -> Column:
@@ -183,21 +187,25 @@ def near_links(fps: DataFrame, limit: int = 2, group_most: int = GROUP_MOST) ->
     return links
 
 
-def simhash_groups(docs: DataFrame, words: int = 3, limit: int = 2, group_most: int = GROUP_MOST) -> DataFrame:
-    """(doc_id, fp, component_id) for each row of docs(doc_id, text); component_id is the smallest doc_id reachable.
+def simhash_groups(docs: DataFrame, words: int = 3, limit: int = 2, group_most: int = GROUP_MOST, carry: str | None = None) -> DataFrame:
+    """(doc_id, fp, key, root, component_id) for each row of docs(doc_id, text).
+
+    component_id is the smallest doc_id reachable, root the smallest fingerprint, key the column `carry`.
 
     Nulls: a null or wordless text has fingerprint 0 and links as any other; a null doc_id stays a row and its
     component is the smallest id among its links, null if there is none. Repeated rows each keep a row. Other
     columns are ignored. An empty table gives an empty result. A text is never cut.
     """
-    each = settle(fingerprints(docs, words), "fingerprints")
+    each = settle(fingerprints(docs, words, carry), "fingerprints")
     codes = settle(each.groupBy("fp").agg(F.min("doc_id").alias("low")), "codes")
-    roots = settle(connected_components(near_links(codes.select("fp"), limit, group_most)), "roots")
+    links = settle(near_links(codes.select("fp"), limit, group_most), "links")
+    roots = settle(connected_components(links), "roots")
     linked = codes.join(roots, codes.fp == roots.v).select("fp", "root", "low")
     lows = linked.groupBy("root").agg(F.min("low").alias("component_id"))
-    linked = settle(linked.join(lows, "root").select("fp", "component_id"), "linked")
-    whole = settle(codes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id")), "classes")
-    return each.join(whole, "fp").select("doc_id", "fp", "component_id")
+    linked = settle(linked.join(lows, "root").select("fp", "root", "component_id"), "linked")
+    ids = F.when(F.col("root").isNull(), F.col("low")).otherwise(F.col("component_id"))
+    whole = settle(codes.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), ids.alias("component_id")), "classes")
+    return each.join(whole, "fp").select("doc_id", "fp", "key", "root", "component_id")
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
