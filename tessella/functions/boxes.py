@@ -58,9 +58,10 @@ def boundary_distance(box: Box, p: Vector) -> Column:
 def subtract(a: Box, b: Box) -> Box:
     """What is left of a without b, which must differ from it in one face and lie inside; an error otherwise."""
     changed = reduce(add, [(lo != lo2).cast("int") + (hi != hi2).cast("int") for lo, hi, lo2, hi2 in zip(*a, *b)])
-    fine = F.assert_true((changed == 1) & contains_box(a, b), F.lit("the boxes must differ in one face")).isNull()
-    low = [F.when(fine & (lo == lo2) & (hi != hi2), hi2).otherwise(lo) for lo, hi, lo2, hi2 in zip(*a, *b)]
-    high = [F.when(fine & (lo != lo2) & (hi == hi2), lo2).otherwise(hi) for lo, hi, lo2, hi2 in zip(*a, *b)]
+    fine = (changed == 1) & contains_box(a, b)
+    checked = lambda value: F.when(fine, value).otherwise(F.raise_error(F.lit("the boxes must differ in one face")).cast("double"))
+    low = [checked(F.when((lo == lo2) & (hi != hi2), hi2).otherwise(lo)) for lo, hi, lo2, hi2 in zip(*a, *b)]
+    high = [checked(F.when((lo != lo2) & (hi == hi2), lo2).otherwise(hi)) for lo, hi, lo2, hi2 in zip(*a, *b)]
     return low, high
 
 

@@ -124,9 +124,9 @@ def dual_edges(simplices: DataFrame, points: DataFrame, dim: int) -> DataFrame:
 
 
 def with_coordinates(simplices: DataFrame, points: DataFrame, dim: int) -> DataFrame:
-    """simplices with `at`, the coordinate structs of the vertices in order."""
+    """simplices with `at`, the coordinate structs of the vertices in order; those with an unknown vertex are left out."""
     names = axes(dim)
     placed = simplices.select("id", F.posexplode("v").alias("d", "p"))
     found = placed.join(points.select(F.col("id").alias("p"), F.struct(*names).alias("c")), "p")
     at = found.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("d", "c"))), lambda s: s["c"]).alias("at"))
-    return simplices.join(at, "id")
+    return simplices.join(at, "id").where(F.size("at") == F.size("v"))

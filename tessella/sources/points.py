@@ -20,8 +20,10 @@ def read_points(spark: SparkSession, path: str, dim: int, sep: str = " ") -> Dat
     """
     fields = F.split("value", sep if sep != "." else r"\.", -1)
     lines = spark.read.text(path)
-    fine = F.when(F.size(fields) == dim, fields[0].cast("double").isNotNull()).otherwise(F.lit(False))
-    values = [F.when(F.assert_true(fine, F.lit(f"a line without {dim} numbers")).isNull(), fields[k].cast("double")).alias(a) for k, a in enumerate(axes(dim))]
+    fine = F.size(fields) == dim
+    for k in range(dim):
+        fine = fine & F.get(fields, F.lit(k)).try_cast("double").isNotNull()
+    values = [F.when(fine, F.get(fields, F.lit(k)).try_cast("double")).otherwise(F.raise_error(F.lit(f"a line without {dim} numbers")).cast("double")).alias(a) for k, a in enumerate(axes(dim))]
     parsed = lines.select(*values, F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("row"))
     counts = {r.part: r["count"] for r in lines.groupBy(F.spark_partition_id().alias("part")).count().collect()}  # a row per partition
     first, starts = 1, {}

@@ -1,0 +1 @@
+"""No operator of this library keeps state over a stream; the column functions of `tessella.functions` work on streams as on tables."""
