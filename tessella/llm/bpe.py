@@ -20,8 +20,8 @@ from tessella.llm.hashstore import HashStore, map_arrays, shard_of, write_arrays
 
 #: Buckets of the literal rank map: Spark searches a map from its start, so each is kept to an entry or two.
 RANK_BUCKETS = 1 << 16
-#: Longer matches of the pattern are merged with a heap, whose steps don't grow with the square of the length.
-FOLD_BYTES = 96
+#: Pieces of more bytes are merged with a heap: the steps of the fold cost the square of the length.
+FOLD_BYTES = 16
 DISTINCT_FLUSH = 1 << 20
 NONE = 1 << 30
 
@@ -32,46 +32,68 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-class Ranks:
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once: the only element of an array that is transformed."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def rank_literal(ranks: dict[bytes, int]) -> Column:
     """The rank map as one literal: an array of small maps from hexadecimal bytes to ranks."""
+    rows: list[dict[str, int]] = [{} for _ in range(RANK_BUCKETS)]
+    for token, rank in ranks.items():
+        name = token.hex().upper()
+        rows[zlib.crc32(name.encode()) % RANK_BUCKETS][name] = rank
+    return F.from_json(F.lit(json.dumps(rows, separators=(",", ":"))), "array<map<string,int>>")
 
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
-        rows: list[dict[str, int]] = [{} for _ in range(RANK_BUCKETS)]
-        for token, rank in ranks.items():
-            name = token.hex().upper()
-            rows[zlib.crc32(name.encode()) % RANK_BUCKETS][name] = rank
-        self.literal = F.from_json(F.lit(json.dumps(rows, separators=(",", ":"))), "array<map<string,int>>")
 
-    def of(self, token: Column) -> Column:
-        """The rank of a token in hexadecimal; NONE if it has none."""
-        bucket = F.get(self.literal, F.pmod(F.crc32(token.cast("binary")), F.lit(RANK_BUCKETS)).cast("int"))
-        return F.coalesce(F.try_element_at(bucket, token), F.lit(NONE))
+def merge_matches(matches: Column, literal: Column) -> Column:
+    """The ids of matches of the pattern, given in hexadecimal, one match after another.
+
+    A match that is a token has one id. Else a fold over as many steps as it has bytes but one merges it. The state
+    is the tokens so far and the ranks of their adjacent pairs; a step joins the leftmost pair of the least rank
+    and looks up the ranks of the new token's two pairs only.
+    """
+
+    def run(ranks: Column) -> Column:
+        def of(token: Column) -> Column:
+            bucket = F.get(ranks, (F.crc32(token.cast("binary")) % RANK_BUCKETS).cast("int"))
+            return F.coalesce(F.try_element_at(bucket, token), F.lit(NONE))
+
+        def with_place(tokens: Column, pairs: Column) -> Column:
+            """A state: the tokens, their pairs' ranks and the place of the first least rank, 0 if no pair has one."""
 
-    def merge(self, piece: Column) -> Column:
-        """The ids of one match of the pattern, given in hexadecimal.
+            def place(found: Column) -> Column:
+                low = F.coalesce(F.array_min(found), F.lit(NONE))
+                at = F.when(low == NONE, F.lit(0)).otherwise(F.array_position(found, F.array_min(found)).cast("int"))
+                return F.struct(tokens.alias("tokens"), found.alias("pairs"), at.alias("at"))
 
-        A fold over as many steps as there are bytes but one. Its state is the array of tokens so far; a step
-        joins the leftmost of the adjacent pairs with the least rank.
-        """
-        n = F.length(piece) / 2
-        first = F.transform(F.sequence(F.lit(0), (n - 1).cast("int")), lambda k: F.substring(piece, k * 2 + 1, F.lit(2)))
+            return let(pairs, place)
 
-        def step(tokens: Column, _: Column) -> Column:
-            pairs = F.when(F.size(tokens) > 1, F.transform(F.sequence(F.lit(0), F.size(tokens) - 2), lambda k: self.of(F.concat(F.get(tokens, k), F.get(tokens, k + 1))))).otherwise(F.array(F.lit(NONE)))
+        def step(state: Column, _: Column) -> Column:
+            tokens, pairs, at = state["tokens"], state["pairs"], state["at"]
+            token = F.concat(F.get(tokens, at - 1), F.get(tokens, at))
+            before, after = of(F.concat(F.get(tokens, at - 2), token)), of(F.concat(token, F.get(tokens, at + 1)))
+            own = (
+                F.when((at > 1) & (at < F.size(pairs)), F.array(before, after))
+                .when(at > 1, F.array(before))
+                .when(at < F.size(pairs), F.array(after))
+                .otherwise(F.array().cast("array<int>"))
+            )
+            joined = F.concat(F.slice(tokens, F.lit(1), at - 1), F.array(token), F.slice(tokens, at + 2, F.lit(NONE)))
+            ranked = F.concat(F.slice(pairs, F.lit(1), F.greatest(at - 2, F.lit(0))), own, F.slice(pairs, at + 2, F.lit(NONE)))
+            return F.when(at == 0, state).otherwise(with_place(joined, ranked))
 
-            def join(state: Column, ranks: Column) -> Column:
-                least = F.array_min(ranks)
-                at = F.array_position(ranks, least).cast("int")
-                joined = F.concat(F.slice(state, F.lit(1), at - 1), F.array(F.concat(F.get(state, at - 1), F.get(state, at))), F.slice(state, at + 2, F.lit(NONE)))
-                return F.when(least == NONE, state).otherwise(joined)
+        def fold(match: Column) -> Column:
+            n = (F.length(match) / 2).cast("int")
+            places = F.sequence(F.lit(1), F.length(match) - 1, F.lit(2))
+            tokens = F.transform(places, lambda k: F.substring(match, k, F.lit(2)))
+            pairs = F.transform(F.slice(places, F.lit(1), n - 1), lambda k: of(F.substring(match, k, F.lit(4))))
+            merged = F.aggregate(F.slice(places, F.lit(1), n - 1), with_place(tokens, pairs), step, lambda s: s["tokens"])
+            return F.transform(merged, of)
 
-            # a one-element transform names the ranks, so that they are computed once
-            return F.get(F.transform(F.array(pairs), lambda ranks: join(tokens, ranks)), F.lit(0))
+        return F.flatten(F.transform(matches, lambda m: let(of(m), lambda whole: F.when(whole < NONE, F.array(whole)).otherwise(fold(m)))))
 
-        merged = F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1)).cast("int")), first, step)
-        whole = self.of(piece)
-        return F.when(whole < NONE, F.array(whole)).otherwise(F.transform(merged, self.of))
+    return let(literal, run)
 
 
 def merge_bytes(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -139,19 +161,23 @@ def distinct_pieces(docs: DataFrame) -> DataFrame:
     """(key, piece) for each distinct piece of the texts, each with its 64-bit key."""
 
     def run(batches):
-        held_keys, held = np.zeros(0, np.uint64), []
+        held_keys = np.zeros(0, np.uint64)
         for batch in batches:
             for part in steps(batch):
                 data, starts, ends, keys, _ = pieces(part)
                 keys, first = np.unique(keys, return_index=True)
-                new = ~np.isin(keys, held_keys, assume_unique=True)
-                keys, first = keys[new], first[new]
+                if len(held_keys):
+                    new = held_keys[np.minimum(np.searchsorted(held_keys, keys), len(held_keys) - 1)] != keys
+                    keys, first = keys[new], first[new]
                 lengths = ends[first] - starts[first]
                 text = gather(data, starts[first], lengths)
                 offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
                 column = pa.LargeStringArray.from_buffers(len(keys), pa.py_buffer(offsets.tobytes()), pa.py_buffer(text.tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), column.cast(pa.string())], ["key", "piece"])
-                held_keys = np.union1d(held_keys, keys) if len(held_keys) < DISTINCT_FLUSH else keys
+                if len(held_keys) >= DISTINCT_FLUSH:
+                    held_keys = keys
+                else:  # two sorted runs, which a stable sort merges
+                    held_keys = np.sort(np.concatenate([held_keys, keys]), kind="stable")
 
     return docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(run, "key long, piece string").distinct()
 
@@ -190,11 +216,11 @@ def make_vocabulary(docs: DataFrame, ranks: dict[bytes, int], pattern: str = PAT
     classes. Two pieces with one key would raise an error.
     """
     spark = docs.sparkSession
-    literal = Ranks(ranks)
+    literal = rank_literal(ranks)
     found = settle(distinct_pieces(docs), "pieces")
     matches = F.transform(F.regexp_extract_all("piece", F.lit("(?U)" + pattern), F.lit(0)), lambda m: F.hex(m.cast("binary")))
     short = F.octet_length("piece") <= fold_bytes
-    folded = found.where(short).select("key", F.flatten(F.transform(matches, literal.merge)).alias("ids"))
+    folded = found.where(short).select("key", merge_matches(matches, literal).alias("ids"))
 
     def merge_long(batches):
         for batch in batches:
@@ -230,34 +256,49 @@ def make_vocabulary(docs: DataFrame, ranks: dict[bytes, int], pattern: str = PAT
     return Vocabulary(HashStore({r.shard: (r.file, r.n) for r in rows}, shards, ["u8"]), {r.shard: (r.id_file, r.n_ids) for r in rows}, ranks)
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(doc_id, ids): each whole text's ids as little-endian unsigned 32-bit integers."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+class Decoder:
+    """Binary pieces by id."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        names: list[bytes] = [b""] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            names[rank] = token
+        self.every = np.frombuffer(b"".join(names), np.uint8)
+        self.lengths = np.array([len(x) for x in names])
+        self.starts = np.cumsum(self.lengths) - self.lengths
+
+    def join(self, ids: np.ndarray) -> bytes:
+        return gather(self.every, self.starts[ids], self.lengths[ids]).tobytes()
+
+
+def encode(docs: DataFrame, vocabulary: Vocabulary, ranks: dict[bytes, int] | None = None) -> DataFrame:
+    """(doc_id, ids, decoded): each whole text's ids as little-endian unsigned 32-bit integers.
+
+    With ranks, the ids are decoded again in the same pass; `decoded` is null without.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, Decoder(ranks) if ranks else None))
 
     def run(batches):
+        vocabulary, decoder = shared.value
         for batch in batches:
             for part in steps(batch):
                 *_, keys, bounds = pieces(part)
-                ids, counts = shared.value.lookup(keys)
-                ends = 4 * np.concatenate([[0], np.cumsum(counts)])[bounds]
-                column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(ids.astype("<u4").tobytes())])
-                yield pa.RecordBatch.from_arrays([part.column(0), column.cast(pa.binary())], ["doc_id", "ids"])
+                ids, counts = vocabulary.lookup(keys)
+                ends = np.concatenate([[0], np.cumsum(counts)])[bounds]
+                column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer((4 * ends).astype(np.int64).tobytes()), pa.py_buffer(ids.astype("<u4").tobytes())])
+                decoded = [decoder.join(ids[a:b]) if decoder else None for a, b in zip(ends[:-1], ends[1:])]
+                yield pa.RecordBatch.from_arrays([part.column(0), column.cast(pa.binary()), pa.array(decoded, pa.binary())], ["doc_id", "ids", "decoded"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(run, "doc_id long, ids binary")
+    return docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(run, "doc_id long, ids binary, decoded binary")
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """(doc_id, ids, decoded): the binary pieces of encoded(doc_id, ids), one after another."""
-    names: list[bytes] = [b""] * (max(ranks.values()) + 1)
-    for token, rank in ranks.items():
-        names[rank] = token
-    every, lengths = np.frombuffer(b"".join(names), np.uint8), np.array([len(x) for x in names])
-    shared = encoded.sparkSession.sparkContext.broadcast((every, np.cumsum(lengths) - lengths, lengths))
+    shared = encoded.sparkSession.sparkContext.broadcast(Decoder(ranks))
 
     def run(batches):
-        every, starts, lengths = shared.value
         for batch in batches:
-            out = [gather(every, starts[i], lengths[i]).tobytes() if len(i := np.frombuffer(x.as_py(), "<u4")) else b"" for x in batch.column(1)]
+            out = [shared.value.join(np.frombuffer(x.as_py(), "<u4")) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, decoded binary")
@@ -267,5 +308,5 @@ def op3(spark, sf_dir: str) -> DataFrame:
     """Null texts are empty: no ids. Repeated rows keep a row each; an empty table gives an empty result."""
     docs = table(spark, sf_dir, "documents")
     ranks = load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    back = decode(encode(docs, make_vocabulary(docs, ranks)), ranks)
+    back = encode(docs, make_vocabulary(docs, ranks), ranks)
     return back.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
