@@ -21,7 +21,7 @@ from tessella.llm.hashstore import HashStore, map_arrays, shard_of, write_arrays
 #: Buckets of the literal rank map: Spark searches a map from its start, so each is kept to an entry or two.
 RANK_BUCKETS = 1 << 16
 #: Pieces of more bytes are merged with a heap: the steps of the fold cost the square of the length.
-FOLD_BYTES = 16
+FOLD_BYTES = 12
 DISTINCT_FLUSH = 1 << 20
 NONE = 1 << 30
 
@@ -73,14 +73,9 @@ def merge_matches(matches: Column, literal: Column) -> Column:
             tokens, pairs, at = state["tokens"], state["pairs"], state["at"]
             token = F.concat(F.get(tokens, at - 1), F.get(tokens, at))
             before, after = of(F.concat(F.get(tokens, at - 2), token)), of(F.concat(token, F.get(tokens, at + 1)))
-            own = (
-                F.when((at > 1) & (at < F.size(pairs)), F.array(before, after))
-                .when(at > 1, F.array(before))
-                .when(at < F.size(pairs), F.array(after))
-                .otherwise(F.array().cast("array<int>"))
-            )
-            joined = F.concat(F.slice(tokens, F.lit(1), at - 1), F.array(token), F.slice(tokens, at + 2, F.lit(NONE)))
-            ranked = F.concat(F.slice(pairs, F.lit(1), F.greatest(at - 2, F.lit(0))), own, F.slice(pairs, at + 2, F.lit(NONE)))
+            joined = F.transform(tokens, lambda t, k: F.when(k == at - 1, token).when(k != at, t))
+            ranked = F.transform(pairs, lambda r, k: F.when(k == at - 2, before).when(k == at, after).when(k != at - 1, r))
+            joined, ranked = (F.filter(x, lambda v: v.isNotNull()) for x in (joined, ranked))
             return F.when(at == 0, state).otherwise(with_place(joined, ranked))
 
         def fold(match: Column) -> Column:
@@ -126,21 +121,36 @@ def merge_bytes(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 
+_SIGN = np.zeros(256, bool)
+_SIGN[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+
+
 def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Where pieces of consecutive texts begin: at each text, and at each space before a character that isn't white space.
+    """Where pieces of consecutive texts begin. No match of the pattern crosses such a place, and none depends on
+    what lies beyond it:
 
-    No match of the pattern crosses such a place, and none depends on what lies beyond it.
+    at each text; at each space before a character that isn't white space; between an ASCII letter and an ASCII
+    sign; before a line break that a visible ASCII character precedes; after one between two of these.
     """
-    at = np.flatnonzero(data[:-1] == 32) if len(data) else np.zeros(0, int)
-    byte = lambda k: data[np.minimum(at + k, len(data) - 1)]
-    one, two, three = byte(1), byte(2), byte(3)
-    white = (one == 32) | ((one >= 9) & (one <= 13)) | ((one == 0xC2) & ((two == 0x85) | (two == 0xA0)))
-    white |= ((one == 0xE1) & (two == 0x9A) & (three == 0x80)) | ((one == 0xE3) & (two == 0x80) & (three == 0x80))
-    white |= (one == 0xE2) & (((two == 0x80) & ((three <= 0x8A) | np.isin(three, (0xA8, 0xA9, 0xAF)))) | ((two == 0x81) & (three == 0x9F)))
-    last = np.zeros(len(data) + 1, bool)
-    last[offsets[1:] - 1] = True  # a space that ends a text has nothing after it
-    filled = offsets[:-1][offsets[:-1] < offsets[1:]]
-    return np.union1d(at[~white & ~last[at]], filled)
+    n = len(data)
+    begins = np.zeros(n + 1, bool)
+    if n:
+        at = np.flatnonzero(data == 32)
+        byte = lambda k: data[np.minimum(at + k, n - 1)]
+        one, two, three = byte(1), byte(2), byte(3)
+        white = (one == 32) | ((one >= 9) & (one <= 13)) | ((one == 0xC2) & ((two == 0x85) | (two == 0xA0)))
+        white |= ((one == 0xE1) & (two == 0x9A) & (three == 0x80)) | ((one == 0xE3) & (two == 0x80) & (three == 0x80))
+        white |= (one == 0xE2) & (((two == 0x80) & ((three <= 0x8A) | np.isin(three, (0xA8, 0xA9, 0xAF)))) | ((two == 0x81) & (three == 0x9F)))
+        begins[at[~white]] = True
+        ends = offsets[1:] - 1
+        begins[ends[(ends >= 0) & (data[ends] == 32)]] = False  # a space that ends a text has nothing after it
+        seen, broken = (data >= 33) & (data <= 126), data == 10
+        begins[1:n] |= (_LETTER[data[:-1]] & _SIGN[data[1:]]) | (seen[:-1] & broken[1:])
+        begins[2:n] |= seen[:-2] & broken[1:-1] & seen[2:]
+    begins[offsets[:-1]] = True
+    return np.flatnonzero(begins[:n])
 
 
 def pieces(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
