@@ -21,7 +21,7 @@ from tessella.llm.hashstore import HashStore, map_arrays, shard_of, write_arrays
 #: Buckets of the literal rank map: Spark searches a map from its start, so each is kept to an entry or two.
 RANK_BUCKETS = 1 << 16
 #: Pieces of more bytes are merged with a heap: the steps of the fold cost the square of the length.
-FOLD_BYTES = 12
+FOLD_BYTES = 24
 DISTINCT_FLUSH = 1 << 20
 NONE = 1 << 30
 
