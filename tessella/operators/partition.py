@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessella.functions.scalars import log_floor, log2_floor
 from tessella.functions.vectors import axes
 from tessella.operators.stats import point_stats
+from tessella.sources.scratch import settle
 
 #: Node tables up to this size are broadcast; a node is a row of a few numbers.
 BROADCAST_NODES = 4096
@@ -17,7 +18,7 @@ TOP = "0"
 
 
 def _with_stats(points: DataFrame, dim: int, nodes: int) -> DataFrame:
-    stats = point_stats(points, dim, "path", far=False)
+    stats = point_stats(points, dim, "path", far=False).join(points.where("id >= 0").groupBy("path").agg(F.count("*").alias("node_points")), "path")
     return points.join(F.broadcast(stats) if nodes <= BROADCAST_NODES else stats, "path")
 
 
@@ -60,32 +61,42 @@ def depth_for(kind: str, dim: int, parts: int) -> int:
     return log_floor(parts, fanout(kind, dim))
 
 
-def split(points: DataFrame, dim: int, kind: str, level: int = 0) -> DataFrame:
-    """points(id, x, ..., path) with a digit more: ties at the midpoint go low."""
+def split(points: DataFrame, dim: int, kind: str, level: int = 0, cutoff: int = 0) -> DataFrame:
+    """points(id, x, ..., path) with a digit more, but for nodes of at most `cutoff` points: ties at the midpoint go low."""
     if kind not in SPLITTERS:
         raise ValueError(f"unknown partitioner {kind!r}")
     names = axes(dim)
     if kind in "012" and int(kind) >= dim:
         raise ValueError("no such dimension")
     own = _with_stats(points, dim, fanout(kind, dim) ** level)
-    return own.select("id", *names, F.concat("path", SPLITTERS[kind](names, level).cast("string")).alias("path"))
+    longer = F.concat("path", SPLITTERS[kind](names, level).cast("string"))
+    return own.select("id", *names, F.when(F.col("node_points") > cutoff, longer).otherwise(F.col("path")).alias("path"))
 
 
 def assign(points: DataFrame, dim: int, kind: str, depth: int = 1, cutoff: int = 0) -> DataFrame:
-    """points with a path of `depth` levels; after the first level, nodes of at most `cutoff` points stay whole."""
+    """points with a path of `depth` levels; after the first level, nodes of at most `cutoff` points stay whole.
+
+    A level reads its nodes' statistics and its points from a written table, so the plan doesn't double with each
+    level; with a cutoff the levels end once no node is over it.
+    """
     out = points.select("id", *axes(dim), F.lit(TOP).alias("path"))
     for level in range(depth):
-        if not cutoff or not level:
-            out = split(out, dim, kind, level)
-            continue
-        sizes = out.groupBy("path").count().where(F.col("count") > cutoff).select("path")
-        nodes = fanout(kind, dim) ** level
-        sizes = F.broadcast(sizes) if nodes <= BROADCAST_NODES else sizes
-        large, small = out.join(sizes, "path", "left_semi"), out.join(sizes, "path", "left_anti")
-        out = split(large, dim, kind, level).unionByName(small)
+        if level:
+            out = settle(out, "level")
+            if cutoff and out.groupBy("path").count().where(F.col("count") > cutoff).isEmpty():
+                break
+        out = split(out, dim, kind, level, cutoff if level else 0)
     return out
 
 
+def depth_within(kind: str, dim: int, points: int, part_points: int) -> int:
+    """Levels after which evenly spread points lie in parts of `part_points`, one at least."""
+    depth = 1
+    while fanout(kind, dim) ** depth * part_points < points:
+        depth += 1
+    return depth
+
+
 def slab_counts(k: int, dim: int) -> list[int]:
     """Powers of two for each dimension whose product is k, doubled in turn."""
     if k < 1 or k & (k - 1):

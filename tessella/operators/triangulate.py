@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 from tessella.functions.vectors import axes
 from tessella.operators.checkers import edge_simplices
 from tessella.operators.mesh import distinct_points, identified, local_meshes, with_neighbours
-from tessella.operators.partition import assign, flatten
+from tessella.operators.partition import assign, depth_within, flatten
 from tessella.sources.points import far_points
 from tessella.sources.scratch import settle
 
 #: Points that one task meshes; more at the borders are parted again.
 TASK_POINTS = 50_000
 MOST_LEVELS = 8
+#: Levels that skewed points may need besides those that evenly spread ones do.
+SKEW_LEVELS = 8
 
 
 def spanning(simplices: DataFrame, assigned: DataFrame) -> DataFrame:
@@ -65,14 +67,19 @@ def _with_far(assigned: DataFrame, far: DataFrame, dim: int) -> DataFrame:
     return assigned.select("id", *axes(dim), "part").unionByName(copies)
 
 
-def triangulate(points: DataFrame, dim: int, kind: str = "d", depth: int = 1, checker: str = "bounds", width: float | None = None, far: str | None = None, assigned: DataFrame | None = None, task_points: int = TASK_POINTS) -> DataFrame:
+def triangulate(points: DataFrame, dim: int, kind: str = "d", depth: int | None = None, checker: str = "bounds", width: float | None = None, far: str | None = None, assigned: DataFrame | None = None, task_points: int = TASK_POINTS) -> DataFrame:
     """simplices(id, v, fp, nb) of points(id, x, y[, z]): the Delaunay mesh, whatever the partitioner.
 
     Of points in one place the smallest id is meshed. `assigned` may give parts of its own (id, x, ..., part).
+    Without a depth, parts are split until they have at most `task_points` points, however the points are spread.
     With far="mid" or "origin" the 2^dim far points are vertices too and each hull simplex has some.
     """
     if assigned is None:
-        assigned = flatten(assign(distinct_points(points.where("id >= 1"), dim), dim, kind, depth))
+        own, cutoff = distinct_points(points.where("id >= 1"), dim), 0
+        if depth is None:
+            own, cutoff = settle(own, "distinct"), task_points
+            depth = depth_within(kind, dim, own.count(), task_points) + SKEW_LEVELS
+        assigned = flatten(assign(own, dim, kind, depth, cutoff))
     assigned = settle(assigned.select("id", *axes(dim), "part"), "assigned")
     if far:
         assigned = settle(_with_far(assigned, far_points(assigned, dim, far), dim), "assigned")

@@ -73,6 +73,16 @@ def test_parts_merge_to_the_whole(spark, kind, dim, splitter, checker):
     assert [r for r in validate.verify(got, own, dim).collect() if r.kind != "unused"] == []
 
 
+def test_parts_follow_the_size_of_skewed_points(spark):
+    at = np.concatenate([np.random.default_rng(5).random((90, 2)) * 0.01, np.random.default_rng(6).random((30, 2))])
+    own = table(spark, at)
+    assert partition.depth_within("d", 2, 120, 40) == 1 and partition.depth_within("c", 2, 120, 20) == 3
+    parts = partition.assign(own, 2, "d", 1 + triangulate.SKEW_LEVELS, 40)
+    assert parts.count() == 120 and parts.groupBy("path").count().agg(F.max("count")).first()[0] <= 40
+    got = settle(triangulate.triangulate(own, 2, task_points=40), "mesh")
+    assert validate.cross_check(got, whole(own, 2)).collect() == []
+
+
 def test_off_origin_far_points(spark):
     own = settle(table(spark, 10_000 + np.random.default_rng(3).random((36, 2))), "points")
     got = triangulate.triangulate(own, 2, "d", 1, far="mid")
