@@ -17,8 +17,10 @@ BROADCAST_NODES = 4096
 TOP = "0"
 
 
-def _with_stats(points: DataFrame, dim: int, nodes: int) -> DataFrame:
-    stats = point_stats(points, dim, "path", far=False).join(points.where("id >= 0").groupBy("path").agg(F.count("*").alias("node_points")), "path")
+def _with_stats(points: DataFrame, dim: int, nodes: int, cutoff: int) -> DataFrame:
+    stats = point_stats(points, dim, "path", far=False)
+    if cutoff:
+        stats = stats.join(points.where("id >= 0").groupBy("path").agg(F.count("*").alias("node_points")), "path")
     return points.join(F.broadcast(stats) if nodes <= BROADCAST_NODES else stats, "path")
 
 
@@ -68,9 +70,9 @@ def split(points: DataFrame, dim: int, kind: str, level: int = 0, cutoff: int =
     names = axes(dim)
     if kind in "012" and int(kind) >= dim:
         raise ValueError("no such dimension")
-    own = _with_stats(points, dim, fanout(kind, dim) ** level)
+    own = _with_stats(points, dim, fanout(kind, dim) ** level, cutoff)
     longer = F.concat("path", SPLITTERS[kind](names, level).cast("string"))
-    return own.select("id", *names, F.when(F.col("node_points") > cutoff, longer).otherwise(F.col("path")).alias("path"))
+    return own.select("id", *names, (F.when(F.col("node_points") > cutoff, longer).otherwise(F.col("path")) if cutoff else longer).alias("path"))
 
 
 def assign(points: DataFrame, dim: int, kind: str, depth: int = 1, cutoff: int = 0) -> DataFrame:
