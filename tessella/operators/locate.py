@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import combinations
+from operator import and_
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.boxes import square_gap
 from tessella.functions.simplices import in_simplex
-from tessella.functions.vectors import axes, columns, square_distance
+from tessella.functions.vectors import axes, columns, dot, minus, plus, scale, square_distance, square_length
 from tessella.operators.mesh import with_coordinates
+from tessella.sources.scratch import settle
 
 #: Centres and boxes up to so many go into the expression itself; a sample up to so many rows is broadcast.
 MOST_CENTRES, MOST_SAMPLE = 4096, 4_000_000
@@ -72,27 +77,74 @@ def nearest_sample(points: DataFrame, sample: DataFrame, dim: int, block: int =
     return points.select("id", *names).mapInArrow(run, f"id long, idx long, part {kind}")
 
 
+def _cells(placed: DataFrame, names: list[str], width: float) -> DataFrame:
+    """A row of placed(id, at) for each grid cell that the simplex's bounding box meets."""
+    out = placed
+    for a in names:
+        values = F.col("at")[a]
+        out = out.withColumn(f"c_{a}", F.explode(F.sequence(F.floor(F.array_min(values) / width).cast("long"), F.floor(F.array_max(values) / width).cast("long"))))
+    return out
+
+
+def simplex_gap(vertices: list[list], p: list) -> Column:
+    """The square distance of an outer point to a simplex: to the nearest of its corners, edges and (in 3-D) faces."""
+    tries = [square_distance(v, p) for v in vertices]
+    for i, j in combinations(range(len(vertices)), 2):
+        edge, own = minus(vertices[j], vertices[i]), minus(p, vertices[i])
+        t = F.try_divide(dot(own, edge), dot(edge, edge))
+        tries.append(F.when((t > 0) & (t < 1), square_length(minus(own, scale(edge, t)))))
+    for face in combinations(vertices, 3) if len(p) == 3 else []:
+        e, f, own = minus(face[1], face[0]), minus(face[2], face[0]), minus(p, face[0])
+        ee, ef, ff, oe, of = dot(e, e), dot(e, f), dot(f, f), dot(own, e), dot(own, f)
+        s, t = (F.try_divide(x, ee * ff - ef * ef) for x in (ff * oe - ef * of, ee * of - ef * oe))
+        tries.append(F.when((s > 0) & (t > 0) & (s + t < 1), square_length(minus(own, plus(scale(e, s), scale(f, t))))))
+    return F.least(*tries)
+
+
+def _nearest(open_: DataFrame, placed: DataFrame, names: list[str], width: float) -> DataFrame:
+    """(qid, close): the nearest simplex of each query that none holds, the smallest id of equals.
+
+    A query meets the simplices of its cell and the cells around it, which are all within a cell's width. What is
+    found within that distance is the nearest; the other queries go on with cells four times as wide or, if the box
+    around all simplices is farther away, as wide as that distance at least.
+    """
+    ends = [f(F.col("at")[a]).alias(f"{e}_{a}") for a in names for e, f in (("lo", F.array_min), ("hi", F.array_max))]
+    box = placed.select(*ends).agg(*[f(f"{e}_{a}").alias(f"{e}_{a}") for a in names for e, f in (("lo", F.min), ("hi", F.max))]).first()
+    low, high = ([F.lit(box[f"{e}_{a}"]) for a in names] for e in ("lo", "hi"))
+    placed, done = placed.select("id", F.array_sort("at").alias("at")), None
+    vertices = [[F.col("at")[k][a] for a in names] for k in range(len(names) + 1)]
+    open_ = open_.withColumn("far", F.sqrt(square_gap((low, high), columns(names))))
+    while (least := open_.agg(F.min("far")).first()[0]) is not None and box[f"lo_{names[0]}"] is not None:
+        width = max(width, least)
+        around = open_
+        for a in names:
+            cell = F.floor(F.col(a) / width).cast("long")
+            around = around.withColumn(f"c_{a}", F.explode(F.sequence(cell - 1, cell + 1)))
+        met = around.join(_cells(placed, names, width), [f"c_{a}" for a in names])
+        best = met.groupBy("qid").agg(F.min(F.struct(simplex_gap(vertices, columns(names)).alias("d"), "id")).alias("best"))
+        found = settle(best.where(F.col("best.d") <= width * width).select("qid", F.col("best.id").alias("close")), "nearest")
+        done = found if done is None else done.unionByName(found)
+        open_ = settle(open_.join(found, "qid", "left_anti"), "open")
+        width *= 4
+    return open_.select("qid", F.lit(None).cast("long").alias("close")).limit(0) if done is None else done
+
+
 def locate(queries: DataFrame, simplices: DataFrame, points: DataFrame, dim: int, width: float) -> DataFrame:
     """(qid, simplex_id) of the simplex that holds each of queries(qid, x, ...), the smallest id of several.
 
     Both sides are dealt to grid cells and joined on them, so a query meets only the simplices near it. A query
-    outside of the mesh has the simplex of the nearest vertex in its ring of cells, or null if there is none.
+    that no simplex holds has the nearest simplex, the smallest id of equals, however far it is. It has null only
+    if there are no simplices, or a coordinate is null or not finite.
     """
     names = axes(dim)
-    placed = with_coordinates(simplices, points, dim).select("id", "at")
-    reach = []
-    for a in names:
-        values = F.col("at")[a]
-        reach.append((F.floor(F.array_min(values) / width).cast("long"), F.floor(F.array_max(values) / width).cast("long")))
-    cells = placed.select("id", "at", *[F.sequence(lo, hi).alias(f"r_{a}") for a, (lo, hi) in zip(names, reach)])
-    for a in names:
-        cells = cells.withColumn(f"c_{a}", F.explode(f"r_{a}"))
-    asked = queries.select("qid", *names, *[F.floor(F.col(a) / width).cast("long").alias(f"c_{a}") for a in names])
+    placed = settle(with_coordinates(simplices, points, dim).select("id", "at"), "placed")
+    finite = reduce(and_, [F.abs(F.col(a)) < float("inf") for a in names])
+    asked = queries.select("qid", *names).where(finite)
+    celled = asked.select("*", *[F.floor(F.col(a) / width).cast("long").alias(f"c_{a}") for a in names])
     vertices = [[F.col("at")[k][a] for a in names] for k in range(dim + 1)]
-    met = asked.join(cells.select("id", "at", *[f"c_{a}" for a in names]), [f"c_{a}" for a in names])
-    held = met.where(in_simplex(vertices, columns(names))).groupBy("qid").agg(F.min("id").alias("held"))
-    near = F.array_min(F.array(*[square_distance(v, columns(names)) for v in vertices]))
-    close = met.groupBy("qid").agg(F.min(F.struct(near.alias("d"), "id"))["id"].alias("close"))
+    met = celled.join(_cells(placed, names, width), [f"c_{a}" for a in names])
+    held = settle(met.where(in_simplex(vertices, columns(names))).groupBy("qid").agg(F.min("id").alias("held")), "held")
+    close = _nearest(settle(asked.join(held, "qid", "left_anti"), "open"), placed, names, width)
     return queries.select("qid").join(held, "qid", "left").join(close, "qid", "left").select("qid", F.coalesce("held", "close").alias("simplex_id"))
 
 
