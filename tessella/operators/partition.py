@@ -117,7 +117,7 @@ def assign_slabs(points: DataFrame, dim: int, k: int, float32: bool = False) ->
     for a, n in zip(names, slab_counts(k, dim)):
         if n == 1:
             continue
-        own = _with_stats(out, dim, nodes)
+        own = _with_stats(out, dim, nodes, 0)
         kind = "float" if float32 else "double"
         low, high, x = (F.col(c).cast(kind) for c in (f"min_{a}", f"max_{a}", a))
         place = F.when(high > low, F.floor((x - low) / (high - low) * F.lit(n).cast(kind))).otherwise(F.lit(0))
