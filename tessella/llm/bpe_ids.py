@@ -23,25 +23,31 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
-def load_json(path: str) -> dict[bytes, int]:
-    """The ranks of a tokenizers file with a byte-level BPE model, without its special tokens."""
+def load_json(path: str) -> tuple[dict[bytes, int], dict[str, int]]:
+    """The ranks of a tokenizers file with a byte-level BPE model, and its added tokens."""
     with open(path, encoding="utf-8") as f:
         said = json.load(f)
-    special = {x["content"] for x in said["added_tokens"]}
+    added = {x["content"]: x["id"] for x in said["added_tokens"]}
+    if any(x["single_word"] or x["lstrip"] or x["rstrip"] for x in said["added_tokens"]):
+        raise ValueError("added tokens that match by their surroundings aren't covered")
     alphabet = byte_alphabet()
-    return {bytes(alphabet[c] for c in token): k for token, k in said["model"]["vocab"].items() if token not in special}
+    return {bytes(alphabet[c] for c in token): k for token, k in said["model"]["vocab"].items() if token not in added}, added
 
 
 class PieceIds(dict):
     """Little-endian ids of pieces of text, encoded on a first use.
 
-    A text is cut before each space that text follows. No match of the pattern crosses such a cut and none
-    depends on what lies beyond it, so the pieces' ids in order are the text's ids.
+    Added tokens are found in a text first, the longest of those at a place, and have their own ids; what lies
+    between two of them is encoded by itself. It is cut before each space that text follows. No match of the pattern
+    crosses such a cut and none depends on what lies beyond it, so the pieces' ids in order are the text's ids.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN):
+    def __init__(self, ranks: dict[bytes, int], added: dict[str, int] | None = None, pattern: str = PATTERN):
         self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.kind = np.dtype("<u2" if max(ranks.values()) < 1 << 16 else "<u4")
+        self.kind = np.dtype("<u2" if max([*ranks.values(), *(added or {}).values()]) < 1 << 16 else "<u4")
+        self.added = {token: np.array([k], self.kind).tobytes() for token, k in (added or {}).items()}
+        names = "|".join(regex.escape(x) for x in sorted(self.added, key=len, reverse=True))
+        self.parts = regex.compile(f"({names})") if names else None
 
     def __missing__(self, piece: str) -> bytes:
         found = np.array(self.encoding.encode_ordinary(piece), self.kind).tobytes()
@@ -52,6 +58,11 @@ class PieceIds(dict):
     def ids(self, text: str) -> bytes:
         if len(self) > CACHE_PIECES:
             self.clear()
+        if self.parts and self.parts.search(text):
+            return b"".join(self.added[x] if x in self.added else self.plain(x) for x in self.parts.split(text) if x)
+        return self.plain(text)
+
+    def plain(self, text: str) -> bytes:
         pieces = text.split(" ") if not _ODD.search(text) else _CUT.split(text)
         return self[pieces[0]] + b"".join([self[" " + p] for p in pieces[1:]])
 
@@ -61,5 +72,5 @@ _loaded: dict[str, PieceIds] = {}
 
 def piece_ids(path: str) -> PieceIds:
     if path not in _loaded:
-        _loaded[path] = PieceIds(load_json(path))
+        _loaded[path] = PieceIds(*load_json(path))
     return _loaded[path]

@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +15,8 @@ from tessella.llm.bpe_ids import piece_ids
 from tessella.llm.common import table
 
 CAPACITY = 2048
-GROUP_DOCS = 512
+#: Tokens after which a group is packed, and groups that a task fills at a time.
+GROUP_TOKENS, GROUPS = 1 << 18, 4
 END = 1
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -97,42 +99,50 @@ def pack(sizes: list[int], capacity: int = CAPACITY) -> list[list[tuple[int, int
     return full + bins
 
 
-def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, group_docs: int = GROUP_DOCS, seed: int = 7) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, group_tokens: int = GROUP_TOKENS, seed: int = 7) -> DataFrame:
     """PIECE rows of docs(doc_id, text): each document's ids and its end id, cut and packed into sequences.
 
     ids_crc32 is over the piece's ids as little-endian unsigned 32-bit integers; sequence_id is unique over all
-    groups. A null text is empty (one piece, the end id); a special token's string is ordinary text. Rows of one
+    groups. A null text is empty (one piece, the end id); an added token's string has that token's id. Rows of one
     doc_id, and rows without one, are documents of their own. Other columns are ignored; an empty table gives an
-    empty result. Documents go to groups of about `group_docs` by a hash of doc_id and text, so a group is small
-    whatever the ids are; a document is never cut before it is encoded.
+    empty result; a document is never cut before it is encoded.
+
+    A task deals the documents it reads at random to GROUPS groups; a group is packed once it has `group_tokens`
+    tokens, and what is left at the task's end is packed together. So a task holds a bounded number of tokens besides one document's, whatever
+    the ids and the copies are, and nothing is shuffled.
     """
     path = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
-    groups = max(1, -(-docs.count() // group_docs))
 
-    def encode(batches):
-        for batch in batches:
-            table_ = piece_ids(path)
-            ids = [table_.ids(t.as_py() or "") for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), batch.column(2)], ["doc_id", "ids", "group"])
-
-    def fill(found: pa.Table) -> pa.Table:
-        kind = piece_ids(path).kind
-        doc_ids = found.column("doc_id").to_pylist()
-        ids = [np.append(np.frombuffer(x.as_py(), kind).astype("<u4"), np.uint32(END)).astype("<u4") for x in found.column("ids")]
-        order = sorted(range(len(ids)), key=lambda k: (doc_ids[k] is None, doc_ids[k] or 0, len(ids[k])))
-        base, rows = found.column("group")[0].as_py() << 32, []
-        for k, pieces in enumerate(pack([len(ids[d]) for d in order], capacity)):
+    def fill(group: list[tuple[int | None, np.ndarray]], base: int) -> tuple[pa.RecordBatch, int]:
+        """The pieces of a group, and how many sequences they make."""
+        group = sorted(group, key=lambda d: (d[0] is None, d[0] or 0, len(d[1])))
+        rows, sequences = [], pack([len(ids) for _, ids in group], capacity)
+        for k, pieces in enumerate(sequences):
             offset = 0
             for d, start, length in pieces:
-                own = ids[order[d]]
-                rows.append((doc_ids[order[d]], start, length, zlib.crc32(own[start : start + length].tobytes()), len(own), base + k, offset))
+                doc_id, own = group[d]
+                own_ids = np.ascontiguousarray(own[start : start + length], "<u4")
+                rows.append((doc_id, start, length, zlib.crc32(own_ids), len(own), base + k, offset))
                 offset += length
-        return pa.table({c.split()[0]: pa.array(v, pa.int64()) for c, v in zip(PIECE.split(", "), zip(*rows))})
+        return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in zip(*rows)], [c.split()[0] for c in PIECE.split(", ")]), len(sequences)
 
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    spread = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.when(F.col("doc_id").isNull(), text)), F.lit(groups))
-    coded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), spread.cast("long").alias("group"))
-    return coded.mapInArrow(encode, "doc_id long, ids binary, group long").groupBy("group").applyInArrow(fill, PIECE)
+    def run(batches):
+        part, table_ = TaskContext.get().partitionId(), piece_ids(path)
+        rng, made = np.random.default_rng((seed, part)), part << 40
+        groups, held = [[] for _ in range(GROUPS)], [0] * GROUPS
+        for batch in batches:
+            for doc_id, text, g in zip(batch.column(0).to_pylist(), batch.column(1), rng.integers(0, GROUPS, batch.num_rows).tolist()):
+                ids = np.append(np.frombuffer(table_.ids(text.as_py()), table_.kind), table_.kind.type(END))
+                groups[g].append((doc_id, ids))
+                held[g] += len(ids)
+                if held[g] >= group_tokens:
+                    out, n = fill(groups[g], made)
+                    yield out
+                    groups[g], held[g], made = [], 0, made + n
+        if any(groups):
+            yield fill(sum(groups, []), made)[0]
+
+    return docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(run, PIECE)
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
