@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +22,7 @@ from tessella.llm.hashstore import HashStore, map_arrays, shard_of, write_arrays
 #: Buckets of the literal rank map: Spark searches a map from its start, so each is kept to an entry or two.
 RANK_BUCKETS = 1 << 16
 #: Pieces of more bytes are merged with a heap: the steps of the fold cost the square of the length.
-FOLD_BYTES = 24
+FOLD_BYTES = 128
 DISTINCT_FLUSH = 1 << 20
 NONE = 1 << 30
 
@@ -153,12 +154,12 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(begins[:n])
 
 
-def pieces(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def pieces(batch: pa.RecordBatch, hashes=span_hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The bytes of a batch's texts; starts, ends and 64-bit keys of their pieces; where each text's begin (and the end)."""
     data, offsets = texts_of(batch.column(batch.schema.get_field_index("text")))
     starts = cuts(data, offsets)
     ends = np.append(starts[1:], len(data)).astype(np.int64) if len(starts) else starts
-    return data, starts, ends, span_hashes(data, starts, ends), np.searchsorted(starts, offsets)
+    return data, starts, ends, hashes(data, starts, ends), np.searchsorted(starts, offsets)
 
 
 def gather(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -167,14 +168,14 @@ def gather(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
     return data[np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
 
 
-def distinct_pieces(docs: DataFrame) -> DataFrame:
-    """(key, piece) for each distinct piece of the texts, each with its 64-bit key."""
+def distinct_pieces(docs: DataFrame, hashes=span_hashes) -> DataFrame:
+    """(key, piece) for each 64-bit key of the texts' pieces, with a piece that has it: one for each task and more at most."""
 
     def run(batches):
         held_keys = np.zeros(0, np.uint64)
         for batch in batches:
             for part in steps(batch):
-                data, starts, ends, keys, _ = pieces(part)
+                data, starts, ends, keys, _ = pieces(part, hashes)
                 keys, first = np.unique(keys, return_index=True)
                 if len(held_keys):
                     new = held_keys[np.minimum(np.searchsorted(held_keys, keys), len(held_keys) - 1)] != keys
@@ -193,14 +194,44 @@ def distinct_pieces(docs: DataFrame) -> DataFrame:
 
 
 class Vocabulary:
-    """Where the ids of every distinct piece are: a store of sorted keys with places in an array of ids."""
+    """Where the ids of a piece of each key are: a store of sorted keys with places in an array of ids."""
 
-    def __init__(self, store: HashStore, ids: dict[int, tuple[str, int]], ranks: dict[bytes, int]):
-        self.store, self.ids, self.tokens = store, ids, ranks
+    def __init__(self, store: HashStore, ids: dict[int, tuple[str, int]], ranks: dict[bytes, int], pattern: str, hashes):
+        self.store, self.ids, self.ranks, self.pattern, self.hashes = store, ids, ranks, pattern, hashes
         self.mapped: dict[int, np.ndarray] = {}
+        self.decoder = Decoder(ranks)
+
+    def __getstate__(self):
+        return self.__dict__ | {"mapped": {}, "hashes": None}
+
+    def encode(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of a batch's texts, where each text's begin (and the end), and the bytes that the ids decode to.
+
+        Two pieces may have one key, so what the ids decode to is compared with each piece; pieces that differ are
+        merged by themselves. The decoded bytes are those of the texts then, which is checked too.
+        """
+        data, starts, ends, keys, bounds = pieces(batch, self.hashes)
+        ids, counts = self.lookup(keys)
+        places = np.concatenate([[0], np.cumsum(self.decoder.lengths[ids])])[np.concatenate([[0], np.cumsum(counts)])]
+        decoded = self.decoder.bytes_of(ids)
+        if not (np.array_equal(places[:-1], starts) and np.array_equal(decoded, data)):
+            same = (np.diff(places) == ends - starts) & np.fromiter((np.array_equal(decoded[p : p + e - s], data[s:e]) for p, s, e in zip(places, starts, ends)), bool, len(starts))
+            own, at = [], np.cumsum(counts) - counts
+            pattern = regex.compile(self.pattern)
+            for k, (a, n) in enumerate(zip(at, counts)):
+                if same[k]:
+                    own.append(ids[a : a + n])
+                else:
+                    piece = data[starts[k] : ends[k]].tobytes().decode("utf-8", "surrogatepass")
+                    own.append(np.array([i for m in pattern.findall(piece) for i in merge_bytes(m.encode("utf-8", "surrogatepass"), self.ranks)], np.uint32))
+            ids, counts = np.concatenate(own), np.array([len(x) for x in own])
+            decoded = self.decoder.bytes_of(ids)
+            if not np.array_equal(decoded, data):
+                raise ValueError("the ids don't decode to the text")
+        return ids, np.concatenate([[0], np.cumsum(counts)])[bounds], decoded
 
     def lookup(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of pieces with these keys, one after another, and how many each has."""
+        """All ids that these keys have, one after another, and how many each has."""
         found, back = np.unique(keys, return_inverse=True)
         count, where, chunks, base = np.zeros(len(found), np.int64), np.full(len(found), -1), [], 0
         for at, k, place in self.store.find(found):
@@ -219,15 +250,16 @@ class Vocabulary:
         return gather(every, where[back], count[back]), count[back]
 
 
-def make_vocabulary(docs: DataFrame, ranks: dict[bytes, int], pattern: str = PATTERN, fold_bytes: int = FOLD_BYTES) -> Vocabulary:
-    """Ids of every distinct piece of docs(text), by the fold over the literal rank map.
+def make_vocabulary(docs: DataFrame, ranks: dict[bytes, int], pattern: str = PATTERN, fold_bytes: int = FOLD_BYTES, hashes=span_hashes) -> Vocabulary:
+    """Ids of the distinct pieces of docs(text), by the fold over the literal rank map.
 
     Distinct pieces are found in each task before they are shuffled. Java's (?U) gives the pattern the Unicode
-    classes. Two pieces with one key would raise an error.
+    classes. `hashes` gives the 64-bit keys of pieces; of pieces with one key, one is merged here, and the others
+    where the texts are encoded.
     """
     spark = docs.sparkSession
     literal = rank_literal(ranks)
-    found = settle(distinct_pieces(docs), "pieces")
+    found = settle(distinct_pieces(docs, hashes), "pieces")
     matches = F.transform(F.regexp_extract_all("piece", F.lit("(?U)" + pattern), F.lit(0)), lambda m: F.hex(m.cast("binary")))
     short = F.octet_length("piece") <= fold_bytes
     folded = found.where(short).select("key", merge_matches(matches, literal).alias("ids"))
@@ -249,10 +281,7 @@ def make_vocabulary(docs: DataFrame, ranks: dict[bytes, int], pattern: str = PAT
 
     def write(part: pa.Table) -> pa.Table:
         keys = np.asarray(part.column("key").combine_chunks(), np.int64).view(np.uint64)
-        order = np.argsort(keys)
-        keys = keys[order]
-        if (keys[1:] == keys[:-1]).any():
-            raise ValueError("two pieces of text have one 64-bit key")
+        keys, order = np.unique(keys, return_index=True)
         lists = part.column("ids").combine_chunks()
         offsets = np.asarray(lists.offsets, np.int64)
         flat = np.asarray(lists.values, np.int32)
@@ -263,7 +292,7 @@ def make_vocabulary(docs: DataFrame, ranks: dict[bytes, int], pattern: str = PAT
 
     index = folded.unionAll(long).mapInArrow(with_shard, "shard long, key long, ids array<int>").groupBy("shard").applyInArrow(write, "shard long, file string, n long, id_file string, n_ids long")
     rows = settle(index, "vocabulary-index").collect()  # a row for each shard
-    return Vocabulary(HashStore({r.shard: (r.file, r.n) for r in rows}, shards, ["u8"]), {r.shard: (r.id_file, r.n_ids) for r in rows}, ranks)
+    return Vocabulary(HashStore({r.shard: (r.file, r.n) for r in rows}, shards, ["u8"]), {r.shard: (r.id_file, r.n_ids) for r in rows}, ranks, pattern, hashes)
 
 
 class Decoder:
@@ -277,27 +306,30 @@ class Decoder:
         self.lengths = np.array([len(x) for x in names])
         self.starts = np.cumsum(self.lengths) - self.lengths
 
+    def bytes_of(self, ids: np.ndarray) -> np.ndarray:
+        return gather(self.every, self.starts[ids], self.lengths[ids])
+
     def join(self, ids: np.ndarray) -> bytes:
-        return gather(self.every, self.starts[ids], self.lengths[ids]).tobytes()
+        return self.bytes_of(ids).tobytes()
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, ranks: dict[bytes, int] | None = None) -> DataFrame:
-    """(doc_id, ids, decoded): each whole text's ids as little-endian unsigned 32-bit integers.
+def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """(doc_id, ids, decoded): each whole text's ids as little-endian unsigned 32-bit integers, and the bytes that they decode to."""
+    shared, hashes = docs.sparkSession.sparkContext.broadcast(vocabulary), vocabulary.hashes
 
-    With ranks, the ids are decoded again in the same pass; `decoded` is null without.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, Decoder(ranks) if ranks else None))
+    def binary(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+        size = values.dtype.itemsize
+        column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer((size * ends).astype(np.int64).tobytes()), pa.py_buffer(values.tobytes())])
+        return column.cast(pa.binary())
 
     def run(batches):
-        vocabulary, decoder = shared.value
+        vocabulary = shared.value
+        vocabulary.hashes = hashes
         for batch in batches:
             for part in steps(batch):
-                *_, keys, bounds = pieces(part)
-                ids, counts = vocabulary.lookup(keys)
-                ends = np.concatenate([[0], np.cumsum(counts)])[bounds]
-                column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer((4 * ends).astype(np.int64).tobytes()), pa.py_buffer(ids.astype("<u4").tobytes())])
-                decoded = [decoder.join(ids[a:b]) if decoder else None for a, b in zip(ends[:-1], ends[1:])]
-                yield pa.RecordBatch.from_arrays([part.column(0), column.cast(pa.binary()), pa.array(decoded, pa.binary())], ["doc_id", "ids", "decoded"])
+                ids, ends, decoded = vocabulary.encode(part)
+                lengths = np.concatenate([[0], np.cumsum(vocabulary.decoder.lengths[ids])])
+                yield pa.RecordBatch.from_arrays([part.column(0), binary(ids.astype("<u4"), ends), binary(decoded, lengths[ends])], ["doc_id", "ids", "decoded"])
 
     return docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(run, "doc_id long, ids binary, decoded binary")
 
@@ -318,5 +350,5 @@ def op3(spark, sf_dir: str) -> DataFrame:
     """Null texts are empty: no ids. Repeated rows keep a row each; an empty table gives an empty result."""
     docs = table(spark, sf_dir, "documents")
     ranks = load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    back = encode(docs, make_vocabulary(docs, ranks), ranks)
+    back = encode(docs, make_vocabulary(docs, ranks))
     return back.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -123,16 +123,34 @@ def test_bpe_round_trip(docs, empty):
     ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     real = tiktoken_encoding(ranks)
     vocabulary = bpe.make_vocabulary(docs, ranks)
-    got = bpe.encode(docs, vocabulary, ranks).collect()
+    got = bpe.encode(docs, vocabulary).collect()
     want = Counter((i, np.array(real.encode_ordinary(t or ""), "<u4").tobytes(), (t or "").encode()) for i, t in TEXTS)
     assert Counter((r.doc_id, bytes(r.ids), bytes(r.decoded)) for r in got) == want
     again = bpe.decode(bpe.encode(docs, vocabulary), ranks).collect()
     assert Counter((r.doc_id, bytes(r.ids), bytes(r.decoded)) for r in again) == want
-    assert bpe.encode(empty, bpe.make_vocabulary(empty, ranks), ranks).collect() == []
+    assert bpe.encode(empty, bpe.make_vocabulary(empty, ranks)).collect() == []
     for piece in (b" hello", b"zzzzqqqq" * 20, b"=", b"\xff\xfe"):
         assert bpe.merge_bytes(piece, ranks) == real._encode_single_piece(piece)
 
 
+def clashing_words():
+    """The Thue-Morse word over a and b, and its complement: polynomial hashes modulo 2^64 are equal."""
+    one = "".join("ab"[bin(k).count("1") & 1] for k in range(1024))
+    return one, one.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("tasks", [1, 2])
+@pytest.mark.parametrize("bad", [False, True])
+def test_pieces_of_one_key(spark, tasks, bad):
+    ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    texts = [*clashing_words(), "some words are equal, others aren't  ", "é日本 12", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(tasks, "doc_id")
+    options = {"hashes": lambda data, starts, ends: (ends - starts).astype(np.uint64)} if bad else {}
+    got = {r.doc_id: r for r in bpe.encode(docs, bpe.make_vocabulary(docs, ranks, **options)).collect()}
+    for i, t in enumerate(texts):
+        assert bytes(got[i].decoded) == t.encode() and np.frombuffer(got[i].ids, "<u4").tolist() == tiktoken_encoding(ranks).encode_ordinary(t)
+
+
 def test_fold_and_heap_agree(spark):
     ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     docs = spark.createDataFrame([(1, "internationalisation of unbelievably longwords here 1234567890123")], "doc_id long, text string")
