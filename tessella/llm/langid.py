@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -11,8 +13,10 @@ from tessella.llm.common import crc_mod, table
 
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 15
-#: About so many documents of each language are learnt from, chosen by a hash of doc_id.
+#: About so many documents of each language are learnt from, chosen by a hash of id and text.
 CLASS_MOST = 400
+#: The commonest languages that a model can have; rarer ones aren't learnt. A label column that isn't one of languages stays bounded.
+LANGS_MOST = 256
 #: Features are shares of n-grams times IDF, times this.
 SCALE = 30.0
 ALPHA, BETA, L1, L2, EPOCHS = 0.3, 1.0, 1e-3, 1e-4, 4
@@ -125,20 +129,24 @@ def calibrate(model: Model, logits: np.ndarray, labels: np.ndarray) -> None:
         model.temperature = float(tries[int(np.argmin(loss))])
 
 
-def fit(docs: DataFrame, class_most: int = CLASS_MOST) -> Model:
-    """A model of docs(doc_id, text, lang). IDF is over all of them; weights learn from a bounded sample of each language."""
+def fit(docs: DataFrame, class_most: int = CLASS_MOST, langs_most: int = LANGS_MOST) -> Model:
+    """A model of docs(doc_id, text, lang). IDF is over all of them; weights learn from a bounded sample of each language.
+
+    The sample is chosen by a hash of id and text, and rows with one id, text and language are learnt from once, so
+    that repeated rows neither crowd out the others nor all come at once. Rows without text or language aren't
+    learnt from; other columns are ignored; of an empty table a model is made that knows no language.
+    """
     known = docs.where("lang is not null and text is not null").select("doc_id", F.col("text").cast("string"), F.col("lang").cast("string"))
     n, found = document_counts(known)
     idf = np.log((1 + n) / (1 + found)) + 1
-    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy("lang").toLocalIterator()}
+    place = F.xxhash64(F.lit(3), "doc_id", "text")
+    sizes = known.groupBy("lang").agg(F.approx_count_distinct(place, 0.02).alias("n"), F.count("*").alias("rows")).orderBy(F.desc("rows"), "lang").limit(langs_most)
+    sizes = {r["lang"]: max(1, r["n"]) for r in sizes.toLocalIterator()}
     model = Model(sorted(sizes), idf)
     if not sizes:
         return model
-    place = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1 << 30))
-    wanted = None
-    for lang, size in sizes.items():
-        own = (F.col("lang") == lang) & (place < int(min(1.0, class_most / size) * (1 << 30)))
-        wanted = own if wanted is None else wanted | own
+    shares = F.from_json(F.lit(json.dumps({lang: int(min(1.0, class_most / size) * (1 << 30)) for lang, size in sizes.items()})), "map<string,long>")
+    wanted = F.pmod(place, F.lit(1 << 30)) < F.coalesce(F.try_element_at(shares, F.col("lang")), F.lit(0))
     empty, langs = Model(model.langs, idf), {x: k for k, x in enumerate(model.langs)}
     shared = docs.sparkSession.sparkContext.broadcast(empty)
 
@@ -148,8 +156,8 @@ def fit(docs: DataFrame, class_most: int = CLASS_MOST) -> Model:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([a for a, _ in got], pa.list_(pa.int64())), pa.array([x for _, x in got], pa.list_(pa.float64()))], ["doc_id", "lang", "at", "x"])
 
     rows, held = [], []
-    sample = known.where(wanted).mapInArrow(run, "doc_id long, lang string, at array<long>, x array<double>")
-    for k, r in enumerate(sorted(sample.toArrow().to_pylist(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0))):
+    sample = known.where(wanted).dropDuplicates().mapInArrow(run, "doc_id long, lang string, at array<long>, x array<double>")
+    for k, r in enumerate(sorted(sample.toArrow().to_pylist(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["lang"], r["at"], r["x"]))):
         (held if k % 5 == 4 else rows).append((np.array(r["at"], np.int64), np.array(r["x"]), langs[r["lang"]]))
     follow_the_leader(model, rows)
     calibrate(model, np.array([x @ model.weights[at] + model.bias for at, x, _ in held]).reshape(-1, len(langs)), np.array([y for *_, y in held], int))
@@ -159,7 +167,8 @@ def fit(docs: DataFrame, class_most: int = CLASS_MOST) -> Model:
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, lang_pred, score) of whole texts: the likeliest learnt language and its calibrated probability.
 
-    A text that is null or has no letter, and any text if no language was learnt, is `und` with score 0.
+    A text that is null or has no letter, and any text if no language was learnt, is `und` with score 0. Repeated
+    rows keep a row each; other columns are ignored; an empty table gives an empty result; a text is never cut.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

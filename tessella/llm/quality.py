@@ -10,11 +10,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessella.llm.common import WORD, crc_mod, settle, table
 
-#: About so many labelled rows are learnt from; more are sampled by a hash of doc_id.
+#: About so many labelled rows are learnt from; more are sampled by a hash of the row.
 LABELLED_MOST = 100_000
+#: Labels that a broadcast may hold at most (16 bytes each); beyond it the same join shuffles.
+BROADCAST_LABELS = 1_000_000
 FEATURES, RIDGE, SEED = 384, 1e-3, 11
 #: Share of the labelled rows that calibrates instead of fitting.
 CALIBRATION = 4
@@ -105,14 +108,13 @@ def _rows(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return np.asarray(column.flatten()).reshape(len(column), -1)
 
 
-def _scored(stats: DataFrame, model: Model, raw: bool = False) -> DataFrame:
+def _scored(stats: DataFrame, model: Model) -> DataFrame:
     shared = stats.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                x = _rows(batch, "stats")
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.raw(x) if raw else shared.value.score(x))], ["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.score(_rows(batch, "stats")))], ["doc_id", "score"])
 
     return stats.select("doc_id", "stats").mapInArrow(run, "doc_id long, score double")
 
@@ -120,19 +122,25 @@ def _scored(stats: DataFrame, model: Model, raw: bool = False) -> DataFrame:
 def fit(stats: DataFrame, labels: DataFrame, most: int = LABELLED_MOST) -> Model:
     """A model of labels(doc_id, label) on stats(doc_id, stats). Labels of one id are averaged; null ones are left out.
 
-    Means and deviations are over all documents. Of the labelled rows about `most` are used. Each partition sums
-    its products; the driver adds at most 32 such sums. Without labels the score is 0.5, with one class its share.
+    Means and deviations are over all documents. Rows with one id and the same statistics are learnt from once. Of
+    these labelled rows about `most` are used, by a hash of id and statistics, so that a repeated id doesn't bring
+    all its rows at once. Each partition sums its products; the driver adds at most 32 such sums and calibrates on
+    a fourth of the rows used. Without labels the score is 0.5, with one class its share.
     """
     at = [F.col("stats")[k] for k in range(len(NAMES))]
     moments = stats.agg(*[F.avg(a) for a in at], *[F.stddev_pop(a) for a in at]).first()
     moments = np.array([0.0 if m is None else m for m in moments])
     model = Model(moments[: len(at)], moments[len(at) :])
-    known = labels.where("label is not null and doc_id is not null").groupBy("doc_id").agg(F.avg("label").alias("label"))
-    known = settle(stats.join(known, "doc_id").select("doc_id", "stats", F.col("label").cast("double")), "labelled")
+    known = labels.where("label is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg("label").alias("label"))
+    known = settle(known, "labels")
+    known = F.broadcast(known) if known.count() <= BROADCAST_LABELS else known
+    known = stats.join(known, "doc_id").groupBy("doc_id", "stats").agg(F.first("label").cast("double").alias("label"))
+    known = settle(known.select("doc_id", "stats", "label"), "labelled")
     n = known.count()
+    place = lambda seed, m: F.pmod(F.xxhash64("doc_id", "stats", F.lit(seed)), F.lit(m))
     if n > most:
-        known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 20)) < int(most / n * (1 << 20)))
-    part = F.pmod(F.xxhash64("doc_id", F.lit(SEED + 1)), F.lit(CALIBRATION))
+        known = known.where(place(SEED, 1 << 20) < int(most / n * (1 << 20)))
+    part = place(SEED + 1, CALIBRATION)
     size, shared = len(model.weights), stats.sparkSession.sparkContext.broadcast(model)
 
     def sums(batches):
@@ -151,10 +159,16 @@ def fit(stats: DataFrame, labels: DataFrame, most: int = LABELLED_MOST) -> Model
         penalty = RIDGE * rows * np.eye(size)
         penalty[-1, -1] = 1e-9
         model.weights = np.linalg.solve(total[:, :-1] + penalty / size, total[:, -1])
-        held = known.where(part == 0)
-        pairs = _scored(held, model, raw=True).alias("s").join(held.alias("h"), "doc_id").select("score", "label").toPandas()
+        fitted = stats.sparkSession.sparkContext.broadcast(model)
+
+        def held(batches):
+            for batch in batches:
+                if batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(fitted.value.raw(_rows(batch, "stats"))), batch.column(1)], ["raw", "label"])
+
+        pairs = known.where(part == 0).select("stats", "label").mapInArrow(held, "raw double, label double").orderBy("raw", "label").toPandas()
         if len(pairs):
-            model.steps = isotonic(pairs.score.to_numpy(), pairs.label.to_numpy())
+            model.steps = isotonic(pairs.raw.to_numpy(), pairs.label.to_numpy())
         else:
             model.steps = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
     return model
@@ -170,17 +184,34 @@ def score_quality(docs: DataFrame, labels: DataFrame, most: int = LABELLED_MOST)
     return _scored(stats, fit(stats, labels, most))
 
 
-def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs whose whole text scores the threshold at least; all columns as they are."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def with_statistics(docs: DataFrame, name: str) -> DataFrame:
+    """docs with the numbers of each whole text in a column of that name."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                stats = [statistics(t.as_py()) for t in batch.column(batch.schema.get_field_index("text"))]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(stats, pa.list_(pa.float32()))], [*batch.schema.names, name])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.ArrayType(T.FloatType()))]))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, most: int = LABELLED_MOST) -> DataFrame:
+    """The rows of docs whose whole text scores the threshold at least, learning from labels(doc_id, label); all columns as they are.
+
+    The texts are read once: their statistics are written beside the rows. Edge cases as in `score_quality`.
+    """
+    name = "__stats"
+    docs = settle(with_statistics(docs, name), "with-statistics")
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs.select(F.col("doc_id").cast("long"), F.col(name).alias("stats")), labels, most))
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                stats = np.stack([statistics(t.as_py()) for t in batch.column(batch.schema.get_field_index("text"))])
-                yield batch.filter(pa.array(shared.value.score(stats) >= threshold))
+                good = pa.array(shared.value.score(_rows(batch, name)) >= threshold)
+                yield batch.drop_columns([name]).filter(good)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.drop(name).schema)
 
 
 def train_labels(labels: DataFrame) -> DataFrame:

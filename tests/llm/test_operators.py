@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tessella.llm import ann, bpe, bpe_ids, chat, exact, kneser, langid, packing, quality, simhash, warc
 from tessella.llm.components import connected_components
 
+SF = "/root/testdata/sf0.01"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, fp long, key string, row long, group long, part int"
 LONG = " ".join(f"word{k % 97}" for k in range(20_000))
 
@@ -238,6 +239,30 @@ def test_language(spark, docs, empty):
     assert langid.keep_known(docs, model, 0.0).where("doc_id in (3, 4, 9)").count() == 0
 
 
+def test_language_held_out(spark):
+    """On the documents: rows that weren't learnt from, told by their own column lang."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = langid.op7(spark, SF).join(docs.select("doc_id", "lang"), "doc_id").where("held_out and lang is not null and lang_pred <> 'und'").collect()
+    right = [r.lang == r.lang_pred for r in got]
+    assert len(right) > 200 and np.mean(right) >= 0.99
+
+
+def test_language_of_repeated_rows(spark):
+    said = {"en": "the quick brown fox and the lazy dog were there", "de": "der schnelle braune fuchs und der faule hund waren da"}
+    data = [(1, said["en"], "en")] * 600 + [(None, said["de"], "de")] * 300 + [(1, f"{said['de']} {k}", "de") for k in range(900)] + [(k, "x", f"odd{k}") for k in range(40)]
+    table = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    seen = []
+    keep = langid.follow_the_leader
+    langid.follow_the_leader = lambda model, rows, **o: (seen.append(len(rows)), keep(model, rows, **o))
+    try:
+        model = langid.fit(table, class_most=100, langs_most=2)
+    finally:
+        langid.follow_the_leader = keep
+    assert model.langs == ["de", "en"] and 40 < seen[0] < 200
+    got = langid.identify(table, model).collect()
+    assert len(got) == len(data) and sum(r.lang_pred == "en" for r in got[:600]) == 600
+
+
 def plain_kneser(texts, asked):
     tokens = lambda t: [w for w in re.findall(rb"[^\x20\x09-\x0d]+", (t or "").encode().lower())] + ["end"]
     count = Counter(w for t in texts for w in tokens(t))
@@ -365,6 +390,33 @@ def test_quality(spark, docs, empty):
     assert np.isfinite(quality.statistics(LONG)).all() and not quality.statistics(None).any()
 
 
+def area(scores, labels):
+    """The chance that a row of label 1 scores higher than one of label 0; ties count half."""
+    good, bad = (np.array([s for s, y in zip(scores, labels) if y == k]) for k in (1, 0))
+    return ((good[:, None] > bad) + 0.5 * (good[:, None] == bad)).mean()
+
+
+def test_quality_held_out(spark):
+    """On the documents: labelled rows that weren't learnt from."""
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    got = quality.op10(spark, SF).join(labels, "doc_id").where("held_out").collect()
+    assert len(got) > 50 and area([r.score for r in got], [r.quality for r in got]) >= 0.97
+    assert np.mean([r.predicted == r.quality for r in got]) >= 0.93
+
+
+def test_quality_of_repeated_ids(spark):
+    data = [(1, f"good text reads well and varies {k}") for k in range(600)] + [(2, "SPAM!! ### BUY!!" + " #" * (k % 300)) for k in range(600)] + [(None, "x")] * 5
+    table = spark.createDataFrame(data, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (2, 0)], "doc_id long, label int")
+    stats = quality.document_statistics(table)
+    model = quality.fit(stats, labels, most=200)
+    assert len(model.steps[0]) < 100
+    got = quality.score_quality(table, labels, most=200).collect()
+    assert len(got) == len(data) and all((r.score >= 0.3) == (r.doc_id == 1) for r in got if r.doc_id)
+    kept = quality.keep_good(table, labels, most=200)
+    assert kept.columns == table.columns and kept.where("doc_id = 1").count() == 600 and kept.where("doc_id = 2").count() == 0
+
+
 def test_isotonic_rises():
     rng = np.random.default_rng(1)
     raw = rng.normal(size=500)
