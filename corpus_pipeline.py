@@ -33,9 +33,7 @@ def _row_key(sha: Column) -> Column:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the quality classifier rejects."""
-    stats = settle(quality.document_statistics(docs), "statistics")
-    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
-    return quality.keep_good(docs, quality.fit(stats, labels))
+    return quality.keep_good(docs, table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")))
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
