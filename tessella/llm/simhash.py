@@ -7,15 +7,18 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.common import WORD, settle
 from tessella.llm.components import connected_components
 
-#: Largest group of fingerprints that one index takes; larger ones go through shared neighbours.
-GROUP_MOST = 4096
-LEAF, FANOUT = 16, 8
+#: Codes of a block, children of a node, queries of a step.
+BLOCK_CODES, FANOUT, CHUNK = 1 << 15, 8, 1024
+#: Fingerprints of so many rows or more are joined to their rows by a broadcast.
+HOT_ROWS = 20_000
+BLOCK = "block long, turn long, low long, high long, codes binary"
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
@@ -61,133 +64,166 @@ def gray_rank(fp: Column) -> Column:
 
 
 class GrayIndex:
-    """A tree over fingerprints in Gray order.
+    """A tree over codes, or over groups of codes, in Gray order.
 
-    A node holds the bits that all fingerprints below it share and that no node above it holds. A search adds up
-    the differing bits on its way down and leaves a node, with all below it, once they are over the limit.
+    A node holds the bits that all codes below it share and that no node above it holds. A search adds up the
+    differing bits on its way down and leaves a node, with all below it, once they are over the limit, or at
+    once if one of the bits in `exact` differs. A group is given by the AND (`low`) and the OR (`high`) of its codes.
     """
 
-    def __init__(self, codes: np.ndarray):
-        self.codes, levels = codes, []
-        at = np.arange(0, len(codes), LEAF)
-        low, high = np.bitwise_and.reduceat(codes, at), np.bitwise_or.reduceat(codes, at)
+    def __init__(self, low: np.ndarray, high: np.ndarray | None = None, exact: int = 0):
+        high, levels = low if high is None else high, []
         levels.append((~(low ^ high), low))
         while len(low) > 1:
             at = np.arange(0, len(low), FANOUT)
             low, high = np.bitwise_and.reduceat(low, at), np.bitwise_or.reduceat(high, at)
             levels.append((~(low ^ high), low))
-        self.levels = levels[::-1]
-        self.own = [m if k == 0 else m & ~np.repeat(self.levels[k - 1][0], FANOUT)[: len(m)] for k, (m, _) in enumerate(self.levels)]
-
-    def search(self, queries: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places of queries and of codes that differ in `limit` bits at most."""
-        q = np.arange(len(queries))
-        node = np.zeros(len(queries), np.int64)
-        spent = np.zeros(len(queries), np.int64)
-        for k, (_, value) in enumerate(self.levels):
-            if k:
-                q, node, spent = (np.repeat(x, FANOUT) for x in (q, node, spent))
-                node = node * FANOUT + np.tile(np.arange(FANOUT), len(node) // FANOUT)
-                q, node, spent = (x[node < len(value)] for x in (q, node, spent))
-            spent = spent + np.bitwise_count((queries[q] ^ value[node]) & self.own[k][node])
-            q, node, spent = (x[spent <= limit] for x in (q, node, spent))
-        rest = ~self.levels[-1][0]
-        leaf, q, spent = np.repeat(node, LEAF), np.repeat(q, LEAF), np.repeat(spent, LEAF)
-        at = leaf * LEAF + np.tile(np.arange(LEAF), len(node))
-        leaf, q, spent, at = (x[at < len(self.codes)] for x in (leaf, q, spent, at))
-        near = spent + np.bitwise_count((queries[q] ^ self.codes[at]) & rest[leaf]) <= limit
-        return q[near], at[near]
-
-
-def group_stars(codes: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """(code, root) links that join each code of a group, in Gray order, to the components it has in this group."""
-    n = len(codes)
-    if n <= LEAF:
-        i, j = np.nonzero(np.triu(np.bitwise_count(codes[:, None] ^ codes[None, :]) <= limit, 1))
-    else:
-        index, i, j = GrayIndex(codes), [], []
-        for at in range(0, n, 256):
-            a, b = index.search(codes[at : at + 256], limit)
-            a += at
-            i.append(a[a < b])
-            j.append(b[a < b])
-        i, j = np.concatenate(i), np.concatenate(j)
+        self.exact, self.values = np.uint64(exact), [value for _, value in levels[::-1]]
+        masks = [mask for mask, _ in levels[::-1]]
+        self.own = [m & ~np.repeat(masks[k - 1], FANOUT)[: len(m)] if k else m for k, m in enumerate(masks)]
+        #: Nodes that searches have compared, for tests and reports.
+        self.compared = 0
+
+    def search(self, queries: np.ndarray, limit: int):
+        """(places of queries, places of codes or groups) that differ in `limit` bits at most, query chunk by chunk."""
+        for at in range(0, len(queries) if len(self.values[0]) else 0, CHUNK):
+            some = queries[at : at + CHUNK]
+            q, node, spent = np.arange(len(some)), np.zeros(len(some), np.int64), np.zeros(len(some), np.uint8)
+            for k, value in enumerate(self.values):
+                if k:
+                    node = (node[:, None] * FANOUT + np.arange(FANOUT)).ravel()
+                    there = node < len(value)
+                    q, node, spent = np.repeat(q, FANOUT)[there], node[there], np.repeat(spent, FANOUT)[there]
+                differ = (some[q] ^ value[node]) & self.own[k][node]
+                self.compared += len(q)
+                spent = spent + np.bitwise_count(differ)
+                on = (spent <= limit) & (differ & self.exact == 0)
+                q, node, spent = q[on], node[on], spent[on]
+            yield q + at, node
+
+
+def stars(n: int, pairs) -> tuple[np.ndarray, np.ndarray]:
+    """(place, smallest place it is connected with) for all of n that pairs connect with a smaller one."""
     root = np.arange(n)
-    while len(i):
-        before = root.copy()
-        low = np.minimum(root[i], root[j])
-        np.minimum.at(root, root[i], low)
-        np.minimum.at(root, root[j], low)
-        while (root[root] != root).any():
-            root = root[root]
-        if (before == root).all():
-            break
+    for i, j in pairs:
+        while (root[i] != root[j]).any():
+            low = np.minimum(root[i], root[j])
+            for x in (root[i], root[j]):
+                np.minimum.at(root, x, low)
+            while (root[root] != root).any():
+                root = root[root]
     at = np.flatnonzero(root != np.arange(n))
-    return codes[at], codes[root[at]]
+    return at, root[at]
 
 
-def _stars(limit: int):
+def _turned(codes: np.ndarray, left: int) -> np.ndarray:
+    return codes << np.uint64(left) | codes >> np.uint64(64 - left) if left % 64 else codes
+
+
+def _links(codes: np.ndarray, at: np.ndarray, root: np.ndarray, left: int) -> pa.RecordBatch:
+    a, b = (_turned(codes[x], (64 - left) % 64).view(np.int64) for x in (at, root))
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+
+class Turns:
+    """How the bits are turned: a run of them comes first in each turn, and codes within the limit agree on a run at least."""
+
+    def __init__(self, limit: int):
+        self.limit, self.cuts = limit, [round(64 * k / (limit + 1)) for k in range(limit + 2)]
+
+    def columns(self) -> Column:
+        turn = lambda a: F.shiftleft("fp", a).bitwiseOR(F.shiftrightunsigned("fp", 64 - a)) if a else F.col("fp")
+        return F.array(*[F.struct(F.lit(k).cast("long").alias("turn"), turn(a).alias("code")) for k, a in enumerate(self.cuts[:-1])])
+
+    def exact(self, turn: int) -> int:
+        width = self.cuts[turn + 1] - self.cuts[turn]
+        return (1 << width) - 1 << 64 - width
+
+
+def _in_blocks(most: int):
+    """Rows (turn, code) in Gray order as blocks of up to `most` codes of one turn."""
+
     def run(batches):
-        held = np.zeros((3, 0), np.int64)
+        part, made = TaskContext.get().partitionId(), 0
+        turn, codes = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
-            new = np.stack([np.asarray(batch.column(k), np.int64) for k in range(3)])
-            held = np.concatenate([held, new], axis=1)
-            change = np.flatnonzero((held[:2, 1:] != held[:2, :-1]).any(0)) + 1
-            if len(change):
-                yield from emit(held[:, : change[-1]])
-                held = held[:, change[-1] :]
-        yield from emit(held)
-
-    def emit(rows):
-        if not rows.shape[1]:
-            return
-        bounds = np.concatenate([[0], np.flatnonzero((rows[:2, 1:] != rows[:2, :-1]).any(0)) + 1, [rows.shape[1]]])
-        codes, out = rows[2].view(np.uint64), []
-        for k in np.flatnonzero(np.diff(bounds) > 1):
-            out.append(group_stars(codes[bounds[k] : bounds[k + 1]], limit))
-        if out:
-            a, b = (np.concatenate([x[k] for x in out]).view(np.int64) for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            turn, codes = (np.concatenate([x, np.asarray(batch.column(k), np.int64)]) for k, x in enumerate((turn, codes)))
+            while len(turn) and (turn[0] != turn[-1] or len(turn) >= most):
+                n = min(most, int(np.searchsorted(turn, turn[0], "right")))
+                yield block(part << 32 | made, turn[0], codes[:n])
+                turn, codes, made = turn[n:], codes[n:], made + 1
+        if len(turn):
+            yield block(part << 32 | made, turn[0], codes)
+
+    def block(k, turn, codes):
+        own = codes.view(np.uint64)
+        low, high = np.bitwise_and.reduce(own), np.bitwise_or.reduce(own)
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((k, int(turn), int(low.view(np.int64)), int(high.view(np.int64)), codes.tobytes()), kinds)], [c.split()[0] for c in BLOCK.split(", ")])
 
     return run
 
 
-def near_links(fps: DataFrame, limit: int = 2, group_most: int = GROUP_MOST) -> DataFrame:
+def _codes(value) -> np.ndarray:
+    return np.frombuffer(value.as_buffer(), np.uint64)
+
+
+def near_links(fps: DataFrame, limit: int = 2, block: int = BLOCK_CODES) -> DataFrame:
     """(a, b): links between distinct fingerprints fps(fp), whose components are those of all pairs within `limit` bits.
 
-    The 64 bits are cut into limit + 1 runs; two codes within the limit agree on a run at least, so each run's
-    value is a group key. A group is sorted by Gray rank and searched through a hierarchical index; its links are
-    stars, at most one per code, never all pairs. Groups of over `group_most` codes are linked in an exact way
-    of their own (limit 2): codes within two bits share a neighbour at one bit or fewer, and only 65 codes have
-    a given neighbour, so each code is sent to its 65 neighbours and these small groups are linked.
+    The bits are turned in limit + 1 ways, each with another run of them in front; two codes within the limit agree
+    on the run in front of one turn at least. The codes of a turn are sorted by Gray rank, over the whole table, and
+    cut into blocks. A block is a tree whose nodes hold shared bits; the blocks' own shared bits are the leaves of an
+    upper tree. A code goes down the upper tree, which prunes blocks, then down the trees of the blocks that are left: its own
+    and, where codes of its run go on in others, those of them that can hold a code within the limit.
+    However large a group of codes with one run is, it is cut into blocks, so a task's size is bounded.
+
+    The driver holds a row for each `block` codes: the upper tree. Links are stars in a block, never all pairs.
     """
-    if limit > 2 or limit < 0:
-        raise ValueError("the exact way for large groups covers 0 to 2 bits")
-    cuts = [round(64 * k / (limit + 1)) for k in range(limit + 2)]
-    runs = [F.struct(F.lit(k).cast("long").alias("band"), F.shiftrightunsigned(F.shiftleft("fp", a), 64 - b + a).alias("key")) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
-    keyed = fps.select("fp", F.explode(F.array(*runs)).alias("r")).select("r.band", "r.key", "fp")
-    large = settle(keyed.groupBy("band", "key").count().where(F.col("count") > group_most).select("band", "key"), "large-groups")
-    if large.isEmpty():
-        usual, rest = keyed, None
-    else:
-        usual, rest = keyed.join(large, ["band", "key"], "left_anti"), keyed.join(large, ["band", "key"], "left_semi")
-    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    links = usual.repartition(parts, "band", "key").sortWithinPartitions("band", "key", gray_rank(F.col("fp"))).mapInArrow(_stars(limit), "a long, b long")
-    if rest is not None:
-        flips = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(1 << k if k < 63 else -(1 << 63))) for k in range(64)])
-        near = rest.select("fp").distinct().select("fp", F.explode(flips if limit == 2 else flips if limit else F.array("fp")).alias("near"))
-        if limit == 1:
-            near = near.union(rest.select("fp", F.col("fp").alias("near"))).distinct()
-        balls = near.groupBy("near").agg(F.collect_set("fp").alias("own")).where("size(own) > 1")
-        if limit == 1:
-            balls = balls.where("array_contains(own, near)").select(F.array_union("own", F.array("near")).alias("own"), F.col("near").alias("mid"))
-            links = links.union(balls.select(F.explode("own").alias("a"), F.col("mid").alias("b")).where("a <> b"))
-        else:
-            links = links.union(balls.select(F.explode("own").alias("a"), F.array_min("own").alias("b")).where("a <> b"))
-    return links
-
-
-def simhash_groups(docs: DataFrame, words: int = 3, limit: int = 2, group_most: int = GROUP_MOST, carry: str | None = None) -> DataFrame:
+    spark, turns = fps.sparkSession, Turns(limit)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    turned = fps.select(F.explode(turns.columns()).alias("t")).select("t.turn", "t.code").withColumn("rank", gray_rank(F.col("code")))
+    ordered = turned.repartitionByRange(parts, "turn", "rank").sortWithinPartitions("turn", "rank").select("turn", "code")
+    blocks = settle(ordered.mapInArrow(_in_blocks(block), BLOCK), "gray-blocks")
+    roots = blocks.select("block", "turn", "low", "high").orderBy("turn", "block").toArrow()
+    ids, own_turn, low, high = (np.asarray(roots.column(k).combine_chunks(), np.int64) for k in range(4))
+    upper = spark.sparkContext.broadcast({t: (ids[own_turn == t], low[own_turn == t].view(np.uint64), high[own_turn == t].view(np.uint64)) for t in range(limit + 1)})
+
+    def within(batches):
+        for batch in batches:
+            for turn, value in zip(batch.column(0).to_pylist(), batch.column(1)):
+                codes = _codes(value)
+                found = GrayIndex(codes, exact=turns.exact(turn)).search(codes, limit)
+                yield _links(codes, *stars(len(codes), ((q[q < c], c[q < c]) for q, c in found)), turns.cuts[turn])
+
+    def sent(batches):
+        trees = {t: (own, GrayIndex(a, b, turns.exact(t))) for t, (own, a, b) in upper.value.items()}
+        for batch in batches:
+            for k, turn, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                codes, (own, tree) = _codes(value), trees[turn]
+                found = list(tree.search(codes, limit))
+                q, to = (np.concatenate([f[x] for f in found]) if found else np.zeros(0, np.int64) for x in (0, 1))
+                q, to = q[own[to] > k], to[own[to] > k]
+                by = np.argsort(to, kind="stable")
+                q, to = q[by], to[by]
+                first = np.flatnonzero(np.diff(to, prepend=-1))
+                for a, b in zip(first.tolist(), [*first[1:].tolist(), len(to)]):
+                    yield pa.RecordBatch.from_arrays([pa.array([int(own[to[a]])]), pa.array([codes[q[a:b]].tobytes()], pa.binary())], ["block", "asked"])
+
+    def between(batches):
+        for batch in batches:
+            for turn, value, asked in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                codes, asked = _codes(value), _codes(asked)
+                found = GrayIndex(codes, exact=turns.exact(turn)).search(asked, limit)
+                yield _links(np.concatenate([codes, asked]), *stars(len(codes) + len(asked), ((c, q + len(codes)) for q, c in found)), turns.cuts[turn])
+
+    links = blocks.select("turn", "codes").mapInArrow(within, "a long, b long")
+    asked = settle(blocks.select("block", "turn", "codes").mapInArrow(sent, "block long, asked binary"), "asked")
+    across = asked.join(blocks.select("block", "turn", "codes"), "block").select("turn", "codes", "asked")
+    return links.unionAll(across.mapInArrow(between, "a long, b long"))
+
+
+def simhash_groups(docs: DataFrame, words: int = 3, limit: int = 2, block: int = BLOCK_CODES, carry: str | None = None) -> DataFrame:
     """(doc_id, fp, key, root, component_id) for each row of docs(doc_id, text).
 
     component_id is the smallest doc_id reachable, root the smallest fingerprint, key the column `carry`.
@@ -195,17 +231,25 @@ def simhash_groups(docs: DataFrame, words: int = 3, limit: int = 2, group_most:
     Nulls: a null or wordless text has fingerprint 0 and links as any other; a null doc_id stays a row and its
     component is the smallest id among its links, null if there is none. Repeated rows each keep a row. Other
     columns are ignored. An empty table gives an empty result. A text is never cut.
+
+    Only fingerprints of two rows or more, or with links, are joined back to the rows; those of very many rows are
+    at most one in HOT_ROWS rows and are broadcast, so no task has all rows of one fingerprint.
     """
     each = settle(fingerprints(docs, words, carry), "fingerprints")
-    codes = settle(each.groupBy("fp").agg(F.min("doc_id").alias("low")), "codes")
-    links = settle(near_links(codes.select("fp"), limit, group_most), "links")
+    codes = settle(each.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")), "codes")
+    links = settle(near_links(codes.select("fp"), limit, block), "links")
     roots = settle(connected_components(links), "roots")
-    linked = codes.join(roots, codes.fp == roots.v).select("fp", "root", "low")
+    linked = codes.join(roots, codes.fp == roots.v).select("fp", "root", "low", "n")
     lows = linked.groupBy("root").agg(F.min("low").alias("component_id"))
-    linked = settle(linked.join(lows, "root").select("fp", "root", "component_id"), "linked")
-    ids = F.when(F.col("root").isNull(), F.col("low")).otherwise(F.col("component_id"))
-    whole = settle(codes.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), ids.alias("component_id")), "classes")
-    return each.join(whole, "fp").select("doc_id", "fp", "key", "root", "component_id")
+    linked = linked.join(lows, "root").select("fp", "root", "component_id", "n")
+    alone = codes.where("n > 1").join(roots, F.col("fp") == F.col("v"), "left_anti").select("fp", F.col("fp").alias("root"), F.col("low").alias("component_id"), "n")
+    classes = settle(linked.unionByName(alone), "classes").withColumnRenamed("fp", "c")
+    hot, rest = (classes.where(w).drop("n") for w in (f"n >= {HOT_ROWS}", f"n < {HOT_ROWS}"))
+    hot = hot.select(F.col("c").alias("h"), F.col("root").alias("h_root"), F.col("component_id").alias("h_component"))
+    both = each.join(F.broadcast(hot), each.fp == hot.h, "left").withColumn("c", F.when(F.col("h").isNull(), F.col("fp")))
+    out = both.join(rest, "c", "left")
+    only = F.col("c").isNotNull() & F.col("root").isNull()
+    return out.select("doc_id", "fp", "key", F.coalesce("h_root", "root", "fp").alias("root"), F.when(only, F.col("doc_id")).otherwise(F.coalesce("h_component", "component_id")).alias("component_id"))
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

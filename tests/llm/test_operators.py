@@ -51,9 +51,10 @@ def components(n, linked):
     return root
 
 
-@pytest.mark.parametrize("most", [2, 4096])
-def test_simhash_groups(docs, empty, most):
-    got = simhash.simhash_groups(docs, group_most=most).collect()
+@pytest.mark.parametrize("block,hot", [(2, 2), (4096, 4096)])
+def test_simhash_groups(docs, empty, block, hot, monkeypatch):
+    monkeypatch.setattr(simhash, "HOT_ROWS", hot)
+    got = simhash.simhash_groups(docs, block=block).collect()
     assert len(got) == len(TEXTS)
     fps = [simhash.fingerprint(t) for _, t in TEXTS]
     root = components(len(fps), lambda i, j: bin(fps[i] ^ fps[j]).count("1") <= 2)
@@ -73,27 +74,59 @@ def test_fingerprint_by_hand():
     assert simhash.fingerprint(None) == simhash.fingerprint(" \n") == 0
 
 
-@pytest.mark.parametrize("limit", [0, 1, 2])
-def test_gray_index_finds_all_pairs(spark, limit):
-    rng = np.random.default_rng(limit)
-    base = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
-    codes = np.unique(np.concatenate([base ^ (np.uint64(1) << rng.integers(0, 64, 60, dtype=np.uint64)) for _ in range(6)]))
-    near = np.bitwise_count(codes[:, None] ^ codes[None]) <= limit
-    root = components(len(codes), lambda i, j: bool(near[i, j]))
-    want = Counter(Counter(root).values())
-    table = spark.createDataFrame([(int(c),) for c in codes.view(np.int64)], "fp long")
-    for most in (1, 8, 4096):
-        found = connected_components(simhash.near_links(table, limit, most)).collect()
-        sizes = Counter(Counter(r.root for r in found).values())
-        sizes[1] += len(codes) - len(found)
-        assert +sizes == want
-    gray = codes ^ codes
+def near_codes(seed, n=60):
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 1 << 64, n, dtype=np.uint64)
+    return np.unique(np.concatenate([base ^ (np.uint64(1) << rng.integers(0, 64, n, dtype=np.uint64)) for _ in range(6)]))
+
+
+def in_gray_order(codes):
     rank = codes.copy()
     for s in (1, 2, 4, 8, 16, 32):
         rank ^= rank >> np.uint64(s)
-    order = codes[np.argsort(rank)]
-    q, c = simhash.GrayIndex(order).search(order, limit)
-    assert len(gray) == len(codes) and len(q) == (np.bitwise_count(order[:, None] ^ order[None]) <= limit).sum() and len(c) == len(q)
+    return codes[np.argsort(rank)]
+
+
+def apart(codes):
+    return np.bitwise_count(codes[:, None] ^ codes[None])
+
+
+@pytest.mark.parametrize("limit,block", [(0, 4), (2, 16), (2, 4096), (5, 64)])
+def test_near_links_join_all_pairs(spark, limit, block):
+    codes = np.concatenate([near_codes(limit), np.arange(200, dtype=np.uint64) * np.uint64(3)])  # the latter agree on two of the three runs
+    near = apart(codes) <= limit
+    root = components(len(codes), lambda i, j: bool(near[i, j]))
+    want = Counter(Counter(root).values())
+    table = spark.createDataFrame([(int(c),) for c in codes.view(np.int64)], "fp long")
+    links = simhash.near_links(table, limit, block)
+    assert block < 4096 or links.count() <= 3 * len(codes)
+    found = connected_components(links).collect()
+    sizes = Counter(Counter(r.root for r in found).values())
+    sizes[1] += len(codes) - len(found)
+    assert +sizes == want
+
+
+@pytest.mark.parametrize("limit", [0, 1, 2, 7])
+def test_gray_index_finds_all_pairs(limit):
+    order = in_gray_order(near_codes(limit))
+    pairs = {(int(a), int(b)) for q, c in simhash.GrayIndex(order).search(order, limit) for a, b in zip(q, c)}
+    assert pairs == set(zip(*(x.tolist() for x in np.nonzero(apart(order) <= limit))))
+    exact = simhash.GrayIndex(order, exact=0xFF << 56)
+    pairs = {(int(a), int(b)) for q, c in exact.search(order, limit) for a, b in zip(q, c)}
+    assert pairs == set(zip(*(x.tolist() for x in np.nonzero((apart(order) <= limit) & (order[:, None] >> np.uint64(56) == order[None] >> np.uint64(56))))))
+
+
+def test_gray_index_prunes_on_documents(spark):
+    """The fingerprints of the documents: whole groups are left out, and what is found is what brute force finds."""
+    fps = simhash.fingerprints(spark.read.parquet(f"{SF}/documents.parquet")).select("fp").distinct().toPandas().fp.to_numpy().view(np.uint64)
+    order, found = in_gray_order(fps), 0
+    for turn, exact in ((0, 0), (0, simhash.Turns(2).exact(0))):
+        index = simhash.GrayIndex(order, exact=exact)
+        pairs = sum(len(q) for q, _ in index.search(order, 2))
+        nodes = sum(map(len, index.values))
+        assert index.compared < 0.25 * len(order) * nodes if not exact else index.compared < 0.1 * len(order) * nodes
+        found = found or pairs
+    assert found == (apart(order) <= 2).sum()
 
 
 def test_components_of_a_chain(spark):
