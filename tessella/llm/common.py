@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -114,6 +115,26 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+_HEAD = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+_ROUNDS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
+
+
+def span_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit keys of byte spans, in two halves: one to one for spans of one length up to 16 bytes, BLAKE2b for longer ones."""
+    padded = np.concatenate([data, np.zeros(16, np.uint8)])
+    eight = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
+    size = ends - starts
+    a, b = eight[starts] & _HEAD[np.minimum(size, 8)], eight[starts + 8 * (size > 8)] & _HEAD[np.clip(size - 8, 0, 8)]
+    n = size.astype(np.uint64)
+    for k in range(0, len(_ROUNDS), 2):  # a balanced Feistel network
+        a ^= mix(b + _ROUNDS[k] + n)
+        b ^= mix(a + _ROUNDS[k + 1] + n)
+    for k in np.flatnonzero(size > 16).tolist():
+        digest = hashlib.blake2b(data[starts[k] : ends[k]], digest_size=16).digest()
+        a[k], b[k] = int.from_bytes(digest[:8], "little"), int.from_bytes(digest[8:], "little")
+    return a, b
+
+
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and text numbers of the words of consecutive texts."""
     inside = _IN_WORD[data]

@@ -55,6 +55,20 @@ def sum_by_key(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     return keys[first], *(np.add.reduceat(v[order], first) for v in values)
 
 
+def distinct_pairs(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (low, high) in their order, and the place of each pair among them."""
+    order = np.argsort(low, kind="stable")
+    a, b = low[order], high[order]
+    if ((a[1:] == a[:-1]) & (b[1:] != b[:-1])).any():
+        order = np.lexsort((high, low))
+        a, b = low[order], high[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    back = np.empty(len(a), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return a[new], b[new], back
+
+
 def blobs(shard: np.ndarray, keys: np.ndarray, values: np.ndarray):
     """(shard, keys, values) rows of sorted keys, packed; shard numbers go with the keys."""
     order = np.argsort(shard.astype(np.uint32), kind="stable")
@@ -113,8 +127,28 @@ class HashStore:
             self.mapped[k] = map_arrays(file, [("u8", n)] + [(kind, n) for kind in self.kinds])
         return self.mapped[k]
 
+    def find_pairs(self, low: np.ndarray, high: np.ndarray):
+        """As find, for keys whose second halves are the first values of the store; keys of one first half are next to each other."""
+        for at, k, place in self.find(low):
+            own, wanted = self.shard(k)[1], high[at]
+            keys = self.shard(k)[0]
+            for _ in range(64):
+                wrong = np.flatnonzero(own[place] != wanted)
+                more = wrong[place[wrong] + 1 < len(own)]
+                more = more[keys[place[more] + 1] == low[at[more]]]
+                if not len(more):
+                    break
+                place = place.copy()
+                place[more] += 1
+            else:  # very many keys have one first half
+                for x in np.flatnonzero(own[place] != wanted).tolist():
+                    run = slice(*(int(np.searchsorted(keys, low[at[x]], side)) for side in ("left", "right")))
+                    place[x] = min(run.start + int(np.searchsorted(own[run], wanted[x])), len(own) - 1)
+            hit = own[place] == wanted
+            yield at[hit], k, place[hit]
+
     def find(self, keys: np.ndarray):
-        """(places in keys, shard, places in the shard) of the sorted distinct keys that are there."""
+        """(places in keys, shard, first places in the shard) of the sorted keys that are there."""
         where = shard_of(mix(keys) if self.mixed else keys, self.count).astype(np.uint32)
         order = np.argsort(where, kind="stable")
         where = where[order]

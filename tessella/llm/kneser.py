@@ -7,30 +7,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import crc_mod, fresh_path, lowered, mix, settle, span_hashes, steps, table, texts_of, word_spans
+from tessella.llm.common import crc_mod, fresh_path, lowered, mix, settle, span_keys, steps, table, texts_of, word_spans
 from tessella.llm.files import make_folder
-from tessella.llm.hashstore import FLUSH, HashStore, blobs, map_arrays, pack_counts, pack_sorted, shard_of, sum_by_key, unpack_counts, unpack_sorted, write_arrays
+from tessella.llm.hashstore import FLUSH, HashStore, blobs, distinct_pairs, map_arrays, pack_counts, pack_sorted, shard_of, sum_by_key, unpack_counts, unpack_sorted, write_arrays
 
-#: The key of the token that ends a text, and the number of the context that begins one.
-END_KEY = np.uint64(0x5EED0E4D0FDEC0DE)
+#: The halves of the key of the token that ends a text, and the number of the context that begins one.
+END_KEY = np.uint64(0x5EED0E4D0FDEC0DE), np.uint64(0x0DDBA11C0FFEE123)
 BEGIN = np.uint64(0xFFFFFFFF)
 BLOB = "shard long, keys binary, counts binary"
+WORDS = "shard long, keys binary, halves binary, counts binary"
 MERGED = "kind string, shard long, n long, total long, of_counts array<long>, file string, keys binary, counts binary"
 CONTEXTS = "shard long, file string, of_counts array<long>"
 SCORE = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 STEP = 1 << 20
+#: Bytes of text that a shard of the model stands for, if there are more than the session's shuffle partitions hold.
+SHARD_BYTES = 256 << 20
 
 
-def token_keys(batch: pa.RecordBatch, text: str = "text") -> tuple[np.ndarray, np.ndarray]:
-    """64-bit keys of the tokens of a batch's texts, and where each text's begin (and the end)."""
+def token_keys(batch: pa.RecordBatch, hashes=span_keys, text: str = "text") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The halves of 128-bit keys of the tokens of a batch's texts, and where each text's begin (and the end)."""
     data, offsets = texts_of(batch.column(batch.schema.get_field_index(text)))
     data = lowered(data)
     starts, ends, owner = word_spans(data, offsets)
     n = len(offsets) - 1
     bounds = np.searchsorted(owner, np.arange(n + 1)) + np.arange(n + 1)
-    keys = np.full(bounds[-1], END_KEY, np.uint64)
-    keys[np.arange(len(owner)) + owner] = span_hashes(data, starts, ends)
-    return keys, bounds
+    low, high = (np.full(bounds[-1], k, np.uint64) for k in END_KEY)
+    at = np.arange(len(owner)) + owner
+    low[at], high[at] = hashes(data, starts, ends)
+    return low, high, bounds
 
 
 def discounts(of_counts: list[int]) -> list[float]:
@@ -50,10 +54,10 @@ def _of_counts(counts: np.ndarray) -> list[int]:
     return [int((counts == k).sum()) for k in (1, 2, 3, 4)]
 
 
-def _ids(keys: np.ndarray, words: HashStore, bases: dict[int, int]) -> np.ndarray:
-    found, back = np.unique(keys, return_inverse=True)
-    ids = np.full(len(found), BEGIN, np.uint64)
-    for at, k, place in words.find(found):
+def _ids(low: np.ndarray, high: np.ndarray, words: HashStore, bases: dict[int, int]) -> np.ndarray:
+    low, high, back = distinct_pairs(low, high)
+    ids = np.full(len(low), BEGIN, np.uint64)
+    for at, k, place in words.find_pairs(low, high):
         ids[at] = bases[k] + place
     return ids[back]
 
@@ -68,14 +72,14 @@ def _pairs(ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 class Model:
     """The stores and the constants of a trained model."""
 
-    def score(self, batch: pa.RecordBatch) -> pa.RecordBatch:
-        keys, bounds = token_keys(batch)
-        found, back = np.unique(keys, return_inverse=True)
+    def score(self, batch: pa.RecordBatch, hashes) -> pa.RecordBatch:
+        *keys, bounds = token_keys(batch, hashes)
+        found, second, back = distinct_pairs(*keys)
         n = len(found)
         ids, count, cont, ones, twos, more = np.full(n, BEGIN, np.uint64), *(np.zeros(n) for _ in range(5))
-        for at, k, place in self.words.find(found):
+        for at, k, place in self.words.find_pairs(found, second):
             ids[at] = self.bases[k] + place
-            count[at] = self.words.shard(k)[1][place]
+            count[at] = self.words.shard(k)[2][place]
             if k not in self.contexts_mapped:
                 self.contexts_mapped[k] = map_arrays(self.contexts[k], [("u4", self.words.shards[k][1])] * 4)
             cont[at], ones[at], twos[at], more[at] = (a[place] for a in self.contexts_mapped[k])
@@ -114,46 +118,55 @@ def _discount(counts: np.ndarray, d: list[float]) -> np.ndarray:
     return np.where(counts >= 3, d[2], np.where(counts == 2, d[1], np.where(counts == 1, d[0], 0.0)))
 
 
-def _counting(shards: int, keys_of):
-    """Partial counts of keys_of(batch), packed by shard; a worker holds FLUSH keys at most besides one text's."""
+def _word_counts(shards: int, hashes):
+    """Partial counts of words, packed by shard; a worker holds FLUSH tokens at most besides one text's."""
+
+    def emit(held):
+        low, high = (np.concatenate(x) for x in zip(*held))
+        low, high, back = distinct_pairs(low, high)
+        counts, shard = np.bincount(back, minlength=len(low)).astype(np.uint64), shard_of(low, shards)
+        first = np.flatnonzero(np.diff(shard.astype(np.int64), prepend=-1))
+        for a, b in zip(first.tolist(), [*first[1:].tolist(), len(low)]):
+            row = int(shard[a]), pack_sorted(low[a:b]), high[a:b].tobytes(), pack_counts(counts[a:b])
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int64(), pa.binary(), pa.binary(), pa.binary()))], [c.split()[0] for c in WORDS.split(", ")])
 
     def run(batches):
         held, size = [], 0
-
-        def emit():
-            keys = np.concatenate(held) if held else np.zeros(0, np.uint64)
-            found, counts = np.unique(keys, return_counts=True)
-            uniform = found if keys_of.uniform else mix(found)
-            yield from blobs(shard_of(uniform, shards), found, counts.astype(np.uint64))
-
         for batch in batches:
             for part in steps(batch, most=STEP):
-                held.append(keys_of(part))
-                size += len(held[-1])
+                *keys, _ = token_keys(part, hashes)
+                held.append(keys)
+                size += len(keys[0])
                 if size >= FLUSH:
-                    yield from emit()
+                    yield from emit(held)
                     held, size = [], 0
-        yield from emit()
+        if size:
+            yield from emit(held)
 
     return run
 
 
-class _WordKeys:
-    uniform = True
-
-    def __call__(self, part):
-        return token_keys(part)[0]
+def _pair_counts(shards: int, shared, hashes):
+    """Partial counts of pairs of word numbers, as _word_counts."""
 
+    def emit(held):
+        found, counts = np.unique(np.concatenate(held), return_counts=True)
+        yield from blobs(shard_of(mix(found), shards), found, counts.astype(np.uint64))
 
-class _PairKeys:
-    uniform = False
-
-    def __init__(self, words, bases):
-        self.words, self.bases = words, bases
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            for part in steps(batch, most=STEP):
+                *keys, bounds = token_keys(part, hashes)
+                held.append(_pairs(_ids(*keys, *shared.value), bounds))
+                size += len(held[-1])
+                if size >= FLUSH:
+                    yield from emit(held)
+                    held, size = [], 0
+        if size:
+            yield from emit(held)
 
-    def __call__(self, part):
-        keys, bounds = token_keys(part)
-        return _pairs(_ids(keys, self.words, self.bases), bounds)
+    return run
 
 
 def _summed(found: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -162,15 +175,17 @@ def _summed(found: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return sum_by_key(np.concatenate(keys), np.concatenate(counts))
 
 
-def train(docs: DataFrame) -> Model:
+def train(docs: DataFrame, hashes=span_keys) -> Model:
     """A model of the texts of docs(text), each ended by an end token.
 
     Workers count over whole texts and pack partial counts by shards of the hash; a shard is merged, sorted and
-    written as arrays to the shared folder. Ids of words are their places in all shards; a pair of ids is a key
-    of 64 bits, so pairs don't collide; words do with a chance of 2^-64 a pair. The driver holds file names only.
+    written as arrays to the shared folder. Words have keys of 128 bits (`hashes` gives them), of which the first 64
+    may clash; ids of words are their places in all shards; a pair of ids is a key of 64 bits. There may be up to
+    2^32 words. There are as many shards as the texts need for SHARD_BYTES of text each. The driver holds file names only.
     """
     spark = docs.sparkSession
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // SHARD_BYTES)
     folder = fresh_path(spark, "ngrams")
     make_folder(folder)
     texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -184,30 +199,29 @@ def train(docs: DataFrame) -> Model:
         return pa.table({c.split()[0]: pa.array(v, t) for c, v, t in zip(MERGED.split(", "), zip(*rows), kinds)})
 
     def merge_words(found: pa.Table) -> pa.Table:
-        keys, counts = _summed(found)
-        return as_table([row("file", found.column("shard")[0].as_py(), len(keys), int(counts.sum()), file=write_arrays(folder, keys, counts))])
-
-    parts = texts.mapInArrow(_counting(shards, _WordKeys()), BLOB)
+        low = np.concatenate([unpack_sorted(x.as_py()) for x in found.column("keys")])
+        high = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in found.column("halves")])
+        counts = np.concatenate([unpack_counts(x.as_py()) for x in found.column("counts")])
+        low, high, back = distinct_pairs(low, high)
+        summed = np.zeros(len(low), np.uint64)
+        np.add.at(summed, back, counts)
+        return as_table([row("file", found.column("shard")[0].as_py(), len(low), int(summed.sum()), file=write_arrays(folder, low, high, summed))])
+
+    parts = texts.mapInArrow(_word_counts(shards, hashes), WORDS)
     merged = settle(parts.groupBy("shard").applyInArrow(merge_words, MERGED), "words").orderBy("shard").toLocalIterator()
     files, bases, base, tokens = {}, {}, 0, 0
     for r in merged:
         files[r.shard], bases[r.shard] = (r.file, r.n), base
         base, tokens = base + r.n, tokens + r.total
-    model.words, model.bases, model.types, model.tokens = HashStore(files, shards, ["u8"]), bases, base, tokens
+    model.words, model.bases, model.types, model.tokens = HashStore(files, shards, ["u8", "u8"]), bases, base, tokens
     of_shard = sorted(bases, key=bases.get)
     starts = np.array([bases[k] for k in of_shard], np.uint64)
     shared = spark.sparkContext.broadcast((model.words, bases))
 
-    class Pairs:
-        uniform = False
-
-        def __call__(self, part):
-            return _PairKeys(*shared.value)(part)
-
     def merge_pairs(found: pa.Table) -> pa.Table:
         keys, counts = _summed(found)
         shard, rows = found.column("shard")[0].as_py(), []
-        rows.append(row("file", shard, len(keys), int(counts.sum()), _of_counts(counts), write_arrays(folder, keys, counts.astype(np.uint32))))
+        rows.append(row("file", shard, len(keys), int(counts.sum()), _of_counts(counts), write_arrays(folder, keys, counts)))
         context, word = keys >> np.uint64(32), keys & BEGIN
         one = np.ones(len(keys), np.uint64)
         for kind, ids, wanted in (("cont", word, one > 0), ("1", context, counts == 1), ("2", context, counts == 2), ("3", context, counts >= 3)):
@@ -218,13 +232,13 @@ def train(docs: DataFrame) -> Model:
                 rows.append(row(kind, int(of_shard[home[a]]) if home[a] >= 0 else -1, keys=pack_sorted(got[a:b]), counts=pack_counts(n[a:b])))
         return as_table(rows)
 
-    merged = settle(texts.mapInArrow(_counting(shards, Pairs()), BLOB).groupBy("shard").applyInArrow(merge_pairs, MERGED), "pairs")
+    merged = settle(texts.mapInArrow(_pair_counts(shards, shared, hashes), BLOB).groupBy("shard").applyInArrow(merge_pairs, MERGED), "pairs")
     files, of_counts, distinct = {}, np.zeros(4, np.int64), 0
     for r in merged.where("kind = 'file'").select("shard", "file", "n", "of_counts").toLocalIterator():
         files[r.shard] = (r.file, r.n)
         of_counts += r.of_counts
         distinct += r.n
-    model.pairs, model.pairs_distinct, model.high_discounts = HashStore(files, shards, ["u4"], mixed=True), distinct, discounts(of_counts.tolist())
+    model.pairs, model.pairs_distinct, model.high_discounts = HashStore(files, shards, ["u8"], mixed=True), distinct, discounts(of_counts.tolist())
     sizes = {k: n for k, (_, n) in model.words.shards.items()}
 
     def merge_contexts(found: pa.Table) -> pa.Table:
@@ -252,7 +266,7 @@ def train(docs: DataFrame) -> Model:
     return model
 
 
-def score_texts(docs: DataFrame, model: Model) -> DataFrame:
+def score_texts(docs: DataFrame, model: Model, hashes=span_keys) -> DataFrame:
     """SCORE rows of docs(doc_id, text): tokens, those learnt, and log10 probabilities by add-one and by the model.
 
     A null or empty text has its end token only. Repeated rows keep a row each, other columns are ignored, an
@@ -263,7 +277,7 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         for batch in batches:
             for part in steps(batch, most=STEP):
-                yield shared.value.score(part)
+                yield shared.value.score(part, hashes)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCORE)
 

@@ -324,6 +324,26 @@ def plain_kneser(texts, asked):
         yield len(w), sum(x in count for x in w), sum(math.log10((count[x] + 1) / (n + v + 1)) for x in w), sum(math.log10(p(h, x)) for h, x in zip(["begin", *w[:-1]], w))
 
 
+@pytest.mark.parametrize("bad", [False, True])
+def test_kneser_ney_of_clashing_words(spark, bad):
+    """Words that a polynomial hash can't tell apart, and keys whose first halves are all equal."""
+    one, other = clashing_words()
+    texts = [one, f"{one} a bc def", "a bc", other, f"bc {other[:-1]} def", ""] + [" ".join(f"w{k}" for k in range(150))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+    def clash(data, starts, ends):
+        from tessella.llm.common import span_keys
+
+        low, high = span_keys(data, starts, ends)
+        return low & np.uint64(0), high
+
+    options = {"hashes": clash} if bad else {}
+    model = kneser.train(docs.where("doc_id <> 3 and doc_id <> 4"), **options)
+    got = sorted(tuple(r) for r in kneser.score_texts(docs, model, **options).collect())
+    want = list(plain_kneser([t for i, t in enumerate(texts) if i not in (3, 4)], texts))
+    assert np.allclose([g[1:] for g in got], want, rtol=1e-9) and got[3][2] == 1
+
+
 def test_kneser_ney(docs, empty):
     train = [t for i, t in TEXTS if i is not None and i % 2]
     model = kneser.train(docs.where("doc_id % 2 = 1"))
