@@ -11,125 +11,143 @@ from pyspark.sql import functions as F
 
 from tessella.llm.common import settle, table
 
-BITS, SUBSTRINGS = 64, 4
-#: Vectors that the rotation and the radius are learned from, at most.
-FIT_ROWS, FIT_QUERIES = 4096, 256
-#: Share of the fit queries' true neighbours that the radius must hold.
-FIT_RECALL = 0.97
-BLOCK_ROWS, BLOCK_QUERIES, CHUNK = 2048, 4096, 64
-FOUND = "query_id long, vec_id long, score double"
+#: Bits of a substring by the number of vectors: enough that buckets don't grow with them. The first that reaches the recall is used.
+WIDTHS = ((1 << 22, 24), (1 << 18, 20), (1 << 13, 17), (0, 16))
+#: Most substrings of a code; bits by which a probe may differ; bits of a code that candidates are compared by.
+SUBSTRINGS_MOST, PROBE_BITS, CODE_BITS = 320, 1, 128
+#: Beyond PROBE_BITS a probe also flips this many at once of so many of a query's bits, those nearest to the border: (bits flipped, among).
+FLIPS = ((2, 7), (3, 6), (4, 5))
+#: Vectors that the rotations and the radius are learned from, at most, and steps of learning a rotation.
+FIT_ROWS, FIT_QUERIES, FIT_STEPS = 4096, 256, 6
+#: Shares of the fit queries' true neighbours that the substrings must meet, and that the radius must hold. The first
+#: is (all vectors are in the sample, there are more): among more vectors neighbours are nearer than in the sample.
+FIT_RECALL, FIT_RADIUS = (0.95, 0.89), 0.99
+#: Queries that are compared with all rows at a time, where probing has found fewer than k.
+REST_QUERIES = 2048
+INDEX = "bucket long, vec long, c0 long, c1 long"
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
+    return x / np.sqrt((x * x).sum(1, keepdims=True)) if x.size else x
+
+
+def rotation(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """A rotation of centred vectors, learned by iterative quantisation from a random one."""
+    d = x.shape[1]
+    turn = np.linalg.qr(rng.normal(size=(d, d)))[0]
+    for _ in range(FIT_STEPS if len(x) > d else 0):
+        left, _, right = np.linalg.svd(np.where(x @ turn >= 0, 1.0, -1.0).T @ x)
+        turn = (left @ right).T
+    return turn
 
 
 class Codes:
-    """A rotation learned from a sample (iterative quantisation) and the radius that its neighbours need."""
-
-    def __init__(self, sample: np.ndarray, k: int, bits: int = BITS, seed: int = 3):
-        rng = np.random.default_rng(seed)
-        x = _unit(sample)
-        d = x.shape[1] if x.size else 1
-        self.mean = x.mean(0) if len(x) else np.zeros(d)
-        self.rotation = np.concatenate([np.linalg.qr(rng.normal(size=(d, d)))[0] for _ in range(-(-bits // d))], axis=1)[:, :bits]
-        if len(x) > bits and d >= bits:
-            _, vectors = np.linalg.eigh(np.cov((x - self.mean).T))
-            axes = vectors[:, ::-1][:, :bits]
-            low, turn = (x - self.mean) @ axes, np.linalg.qr(rng.normal(size=(bits, bits)))[0]
-            for _ in range(30):
-                left, _, right = np.linalg.svd(np.where(low @ turn >= 0, 1.0, -1.0).T @ low)
-                turn = (left @ right).T
-            self.rotation = axes @ turn
-        self.radius = bits
+    """Learned rotations, how many substrings of their signs are indexed, and the radius that neighbours need.
+
+    The signs under all rotations, one rotation after another, are a code; `width` of them make a substring. By the
+    pigeonhole principle all codes that differ in up to (PROBE_BITS + 1) * substrings - 1 bits share a substring but
+    for PROBE_BITS bits. Neighbours are often further apart than that in all bits and still share one, more so if
+    bits of the query that are near the border are flipped too (FLIPS); the number of substrings is the least that
+    meets FIT_RECALL of the true neighbours of the fit queries.
+    """
+
+    def __init__(self, sample: np.ndarray, k: int, n: int, seed: int = 3):
+        rng, x = np.random.default_rng(seed), _unit(sample)
+        self.d = x.shape[1] if x.size else 1
+        self.mean = x.mean(0) if len(x) else np.zeros(self.d)
+        centred, fit = x - self.mean, x[:FIT_QUERIES]
+        widths = [w for least, w in WIDTHS if n > least or not least]
+        turns = [rotation(centred[:1024] if x.size else np.zeros((0, self.d)), rng) for _ in range(-(-max(SUBSTRINGS_MOST * widths[0], CODE_BITS) // self.d))]
+        self.turns = np.concatenate(turns, axis=1)
+        self.width, self.substrings, self.radius, self.opened = widths[-1], SUBSTRINGS_MOST, CODE_BITS, 1.0
         if len(x) > k + 1:
-            queries = x[:FIT_QUERIES]
-            near = np.argsort(-(queries @ x.T), axis=1)[:, 1 : k + 1]
-            codes = self.encode(sample)
-            apart = np.bitwise_count(codes[: len(queries), None] ^ codes[near])
-            self.radius = int(np.quantile(apart, FIT_RECALL, method="higher"))
+            near = np.argsort(-(fit @ x.T), axis=1, kind="stable")[:, : k + 1]
+            near = np.array([[v for v in row if v != q][:k] for q, row in enumerate(near.tolist())])
+            for self.width in widths:
+                subs, asked = self.substrings_of(sample, SUBSTRINGS_MOST), self.probes_of(sample[: len(fit)], SUBSTRINGS_MOST)
+                met = np.stack([(asked[:, t, None, :] == subs[near, t, None]).any(2) for t in range(SUBSTRINGS_MOST)], axis=2)
+                recall = np.logical_or.accumulate(met, axis=2).mean((0, 1))
+                enough = np.flatnonzero(recall >= FIT_RECALL[n > len(x)])
+                if len(enough):
+                    self.substrings = int(enough[0]) + 1
+                    break
+            code = self.codes_of(sample)
+            apart = np.bitwise_count(code[: len(fit), None] ^ code[near]).sum(2)
+            self.radius = int(np.quantile(apart, FIT_RADIUS, method="higher"))
+            seen = [np.logical_or.reduce([np.isin(subs[:, t], asked[q, t]) for t in range(self.substrings)]) for q in range(min(16, len(fit)))]
+            self.opened = float(np.mean(seen))
+        self.turns = self.turns[:, : max(self.substrings * self.width, CODE_BITS)]
+
+    def turned(self, vectors: np.ndarray, n: int) -> np.ndarray:
+        return (_unit(vectors) - self.mean) @ self.turns[:, :n]
+
+    def substrings_of(self, vectors: np.ndarray, count: int) -> np.ndarray:
+        """The first substrings of each vector's code."""
+        bits = self.turned(vectors, count * self.width).reshape(len(vectors), count, self.width) >= 0
+        return bits @ (np.int64(1) << np.arange(self.width, dtype=np.int64))
+
+    def probes_of(self, vectors: np.ndarray, count: int) -> np.ndarray:
+        """For each vector and each of its first substrings: all values within PROBE_BITS bits, and those of FLIPS."""
+        turned = self.turned(vectors, count * self.width).reshape(len(vectors), count, self.width)
+        one = np.int64(1) << np.arange(self.width, dtype=np.int64)
+        own = (turned >= 0) @ one
+        border = one[np.argsort(np.abs(turned), axis=2)]
+        balls = [sum((1 << b for b in bits), 0) for r in range(PROBE_BITS + 1) for bits in combinations(range(self.width), r)]
+        masks = [np.broadcast_to(np.array(balls, np.int64), (*own.shape, len(balls)))]
+        for r, among in FLIPS:
+            masks += [border[:, :, list(bits)].sum(2, keepdims=True) for bits in combinations(range(among), r)]
+        return own[:, :, None] ^ np.concatenate(masks, axis=2)
+
+    def codes_of(self, vectors: np.ndarray) -> np.ndarray:
+        """The first CODE_BITS bits of each vector's code, in 64-bit integers."""
+        return np.packbits(self.turned(vectors, CODE_BITS) >= 0, axis=1).view(np.uint64)
+
+    def rows(self, ids: np.ndarray, vectors: np.ndarray, probes: bool):
+        """INDEX rows: each substring's bucket; with probes also the buckets of its probes."""
+        code, place = self.codes_of(vectors), np.arange(self.substrings, dtype=np.int64) << 32
+        bucket = self.probes_of(vectors, self.substrings) + place[:, None] if probes else self.substrings_of(vectors, self.substrings) + place
+        bucket = bucket.reshape(len(ids), -1)
+        each = bucket.shape[1]
+        columns = [bucket.ravel(), np.repeat(ids, each), *(np.repeat(code[:, j].view(np.int64), each) for j in (0, 1))]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [c.split()[0] for c in INDEX.split(", ")])
+
+
+def cosine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of rows of x with those of y, in double precision."""
+    return (x * y).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum(1)))
+
+
+def _vectors(batch, name: str) -> np.ndarray:
+    column = batch.column(batch.schema.get_field_index(name))
+    return np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
+
+
+def candidates(rows: DataFrame, asked: DataFrame, codes: Codes) -> DataFrame:
+    """(q, vec): the vectors of rows(vec, embedding) that probing finds within the radius of each of asked(vec, embedding)."""
+    shared = rows.sparkSession.sparkContext.broadcast(codes)
 
-    def encode(self, vectors: np.ndarray) -> np.ndarray:
-        bits = (_unit(vectors) - self.mean) @ self.rotation >= 0
-        packed = np.packbits(bits, axis=1, bitorder="little")
-        return np.pad(packed, ((0, 0), (0, 8 - packed.shape[1]))).view(np.uint64).ravel()
+    def buckets(probes):
+        def run(batches):
+            for batch in batches:
+                for at in range(0, batch.num_rows, 256):
+                    part = batch.slice(at, 256)
+                    yield shared.value.rows(np.asarray(part.column(0), np.int64), _vectors(part, "embedding"), probes)
 
+        return run
+
+    index = rows.select("vec", "embedding").mapInArrow(buckets(False), INDEX)
+    probes = asked.select("vec", "embedding").mapInArrow(buckets(True), INDEX).withColumnRenamed("vec", "q")
+    apart = sum(F.bit_count(index[c].bitwiseXOR(probes[c])) for c in ("c0", "c1"))
+    return index.join(probes, (index.bucket == probes.bucket) & (apart <= codes.radius)).select("q", "vec").distinct()
 
-def _unit(x: np.ndarray) -> np.ndarray:
-    x = x.astype(np.float64)
-    return x / np.sqrt((x * x).sum(1, keepdims=True)) if x.size else x
 
+def _fit(rows: DataFrame, d: int, k: int, n: int) -> Codes:
+    sample = rows.orderBy(F.xxhash64("embedding"), "vec").limit(FIT_ROWS).select("embedding").toArrow().column(0)
+    return Codes(np.asarray(sample.combine_chunks().flatten()).reshape(-1, d), k, n)
 
-class MultiIndex:
-    """The codes of a block, found by their substrings."""
-
-    def __init__(self, codes: np.ndarray, substrings: int = SUBSTRINGS, bits: int = BITS):
-        self.codes, self.m, self.width = codes, substrings, bits // substrings
-        self.tables = [np.unique(self.part(codes, j), return_inverse=True) for j in range(self.m)]
-
-    def part(self, codes: np.ndarray, j: int) -> np.ndarray:
-        return codes >> np.uint64(j * self.width) & np.uint64((1 << self.width) - 1)
-
-    def within(self, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places of queries and of all codes within the radius.
-
-        With radius = m * r + a, a code within it is within r of the query in one of the first a + 1 substrings or
-        within r - 1 in another; so only buckets that near are opened. Where a ball of substrings has more values
-        than the directory, the directory is gone through instead.
-        """
-        r, a = divmod(min(radius, 64), self.m)
-        open_ = np.zeros((len(queries), len(self.codes)), bool)
-        for j, (values, bucket) in enumerate(self.tables):
-            most = r if j <= a else r - 1
-            if most < 0:
-                continue
-            wanted = self.part(queries, j)
-            masks = ball(self.width, most, len(values))
-            if masks is None:
-                near = np.bitwise_count(wanted[:, None] ^ values[None, :]) <= most
-            else:
-                probes = wanted[:, None] ^ masks[None, :]
-                at = np.minimum(np.searchsorted(values, probes), len(values) - 1)
-                near = np.zeros((len(queries), len(values)), bool)
-                q, p = np.nonzero(values[at] == probes)
-                near[q, at[q, p]] = True
-            open_ |= near[:, bucket]
-        q, c = np.nonzero(open_)
-        hit = np.bitwise_count(queries[q] ^ self.codes[c]) <= radius
-        return q[hit], c[hit]
-
-
-def ball(width: int, radius: int, most: int) -> np.ndarray | None:
-    """All values with up to `radius` bits of `width`; None if there are over `most`."""
-    out = []
-    for r in range(radius + 1):
-        for bits in combinations(range(width), r):
-            out.append(sum(1 << b for b in bits))
-            if len(out) > most:
-                return None
-    return np.array(out, np.uint64)
-
-
-def search_block(codes: Codes, ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int):
-    """(query_id, vec_id, score): each query's k nearest in a block, found by codes and ranked by exact cosine."""
-    index, query_codes = MultiIndex(codes.encode(vectors)), codes.encode(queries)
-    x, q = vectors.astype(np.float64), queries.astype(np.float64)
-    lengths, query_lengths = np.sqrt((x * x).sum(1)), np.sqrt((q * q).sum(1))
-    for at in range(0, len(queries), CHUNK):
-        todo, radius = np.arange(at, min(at + CHUNK, len(queries))), codes.radius
-        while len(todo):
-            a, c = index.within(query_codes[todo], radius)
-            own = ids[c] != query_ids[todo[a]]
-            a, c = a[own], c[own]
-            done = (np.bincount(a, minlength=len(todo)) >= k) | (radius >= 64)
-            use = done[a]
-            a, c = todo[a[use]], c[use]
-            score = (x[c] * q[a]).sum(1) / (lengths[c] * query_lengths[a])
-            order = np.lexsort((ids[c], -score, a))
-            a, c, score = a[order], c[order], score[order]
-            first = np.searchsorted(a, a, "left")
-            best = np.arange(len(a)) - first < k
-            yield query_ids[a[best]], ids[c[best]], score[best]
-            todo, radius = todo[~done], min(64, radius + 6)
-
-
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, block_rows: int = BLOCK_ROWS) -> DataFrame:
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score): for each of queries(vec_id, embedding) its k nearest of vectors(vec_id, embedding).
 
     Nearness is the cosine in double precision; ties go to the smaller vec_id; a row with the query's own vec_id
@@ -137,36 +155,70 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, block_rows: int
     commonest one, or that have no vec_id take no part. Queries of one vec_id count once. Other columns are
     ignored; an empty table gives an empty result; with fewer than k candidates all are returned.
 
-    The rotation and the Hamming radius are fitted on at most FIT_ROWS vectors; every vector is indexed. Rows are
-    dealt to blocks by a hash of vec_id; each block holds a multi-index and answers the queries in blocks too, so
-    a task's size is fixed and repeated vectors cost no more than others. A query that finds fewer than k in a
-    block goes on there with larger radii. Only k rows per query and block leave a task.
+    Equal vectors are searched for, and found, once, with the k + 1 smallest of their ids, so copies don't make
+    buckets grow. Rotations and radius are fitted on at most FIT_ROWS vectors; every vector is indexed: a row for each
+    substring of its code. Probes meet these rows in one join on the bucket; codes within the radius are reranked
+    by the floats. A query that finds fewer than k is compared with all rows, REST_QUERIES at a time.
     """
     valid = F.col("embedding").isNotNull() & F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))) & F.exists("embedding", lambda v: v != 0)
     clean = lambda df: df.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & valid)
     rows = clean(vectors)
     common = rows.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
     d, n = (common["d"], common["count"]) if common else (1, 0)
-    rows = rows.where(F.size("embedding") == d)
-    asked = clean(queries).where(F.size("embedding") == d).dropDuplicates(["vec_id"])
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_ROWS).select("embedding").toArrow().column(0)
-    codes = Codes(np.asarray(sample.combine_chunks().flatten()).reshape(-1, d), k)
-    shared = rows.sparkSession.sparkContext.broadcast(codes)
-    blocks, query_blocks = max(1, -(-n // block_rows)), max(1, -(-asked.count() // BLOCK_QUERIES))
-    spread = lambda m, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(m)).cast("long")
-    dealt = rows.select(spread(blocks, 1).alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long"))).alias("part"), "vec_id", "embedding")
-    sent = asked.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), spread(query_blocks, 2).alias("part"), "vec_id", "embedding")
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        arrays = []
-        for t in (left, right):
-            arrays += [np.asarray(t.column("vec_id").combine_chunks(), np.int64), np.asarray(t.column("embedding").combine_chunks().flatten(), np.float64).reshape(-1, d)]
-        found = list(search_block(shared.value, *arrays, k)) if len(arrays[0]) and len(arrays[2]) else []
-        return pa.table({name: pa.array(np.concatenate([f[j] for f in found]) if found else np.zeros(0), kind) for j, (name, kind) in enumerate((("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())))})
-
-    best = dealt.groupBy("block", "part").cogroup(sent.groupBy("block", "part")).applyInArrow(run, FOUND)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return settle(best, "found").select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+    place = F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))
+    few = rows.where(F.size("embedding") == d).withColumn("place", place).where(F.col("place") <= k + 1)
+    rows = settle(few.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).select(F.col("ids")[0].alias("vec"), "ids", "embedding"), "vectors")
+    wanted = clean(queries).where(F.size("embedding") == d).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    wanted = settle(wanted.withColumn("q", F.first("vec_id").over(Window.partitionBy("embedding").orderBy("vec_id"))), "queries")
+    asked = wanted.where("q = vec_id").select(F.col("vec_id").alias("vec"), "embedding")
+    codes = _fit(rows, d, k, n)
+    pairs = settle(candidates(rows, asked, codes), "candidates")
+
+    def scored(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cosine(_vectors(batch, "x"), _vectors(batch, "y")))], ["q", "ids", "score"])
+
+    both = pairs.join(asked.select(F.col("vec").alias("q"), F.col("embedding").alias("x")), "q").join(rows.select("vec", "ids", F.col("embedding").alias("y")), "vec")
+    found = both.select("q", "ids", "x", "y").mapInArrow(scored, "q long, ids array<long>, score double").select("q", F.explode("ids").alias("vec_id"), "score")
+    by_score = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
+    best = settle(found.withColumn("place", F.row_number().over(by_score)).where(F.col("place") <= k + 1), "found")
+    short = asked.join(best.groupBy(F.col("q").alias("vec")).count().where(F.col("count") > k), "vec", "left_anti")
+    best = best.select("q", "vec_id", "score")
+    short = settle(short, "short")
+    if not short.isEmpty():
+        best = best.join(short.select(F.col("vec").alias("q")), "q", "left_anti").unionByName(_compared(rows, short, k))
+    best = best.withColumnRenamed("vec_id", "found")
+    out = wanted.select("vec_id", "q").join(best, "q").where("found <> vec_id")
+    rank = F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("score"), "found"))
+    return out.select(F.col("vec_id").alias("query_id"), rank.alias("rank"), F.col("found").alias("vec_id"), "score").where(F.col("rank") <= k)
+
+
+def _compared(rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """(q, vec_id, score): the k + 1 nearest ids of each of asked among all rows, a bounded number of queries at a time."""
+    parts = max(1, -(-asked.count() // REST_QUERIES))
+    spread = F.pmod(F.xxhash64("vec"), F.lit(parts))
+    out = None
+    for part in range(parts):
+        some = asked.where(spread == part).select("vec", "embedding").toArrow()
+        shared = rows.sparkSession.sparkContext.broadcast((np.asarray(some.column(0).combine_chunks(), np.int64), np.asarray(some.column(1).combine_chunks().flatten(), np.float64).reshape(some.num_rows, -1)))
+
+        def run(batches, shared=shared):
+            q, x = shared.value
+            for batch in batches:
+                y = _vectors(batch, "embedding") if batch.num_rows else None
+                for at in range(0, batch.num_rows, 512) if len(q) else ():
+                    own = y[at : at + 512]
+                    near = cosine(np.repeat(x, len(own), axis=0), np.tile(own, (len(q), 1))).reshape(len(q), -1)
+                    top = np.argsort(-near, axis=1, kind="stable")[:, : k + 1]
+                    ids = batch.column(0).take(pa.array(top.ravel() + at))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q, top.shape[1])), ids, pa.array(np.take_along_axis(near, top, 1).ravel())], ["q", "ids", "score"])
+
+        found = rows.select("ids", "embedding").mapInArrow(run, "q long, ids array<long>, score double").select("q", F.explode("ids").alias("vec_id"), "score")
+        place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))
+        found = settle(found.withColumn("place", place).where(F.col("place") <= k + 1).select("q", "vec_id", "score"), "compared")
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

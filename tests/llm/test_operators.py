@@ -231,7 +231,7 @@ def test_nearest(spark):
     x[100:200] = x[7]
     data = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [0.0] * 16), (902, [float("nan")] * 16), (903, [1.0] * 3), (904, [None] * 16), (None, x[3].tolist())]
     table = spark.createDataFrame(data, "vec_id long, embedding array<float>").withColumn("score", F.lit(1)).withColumn("block", F.lit(2))
-    got = ann.nearest(table, table.where("vec_id % 20 = 0"), block_rows=64).collect()
+    got = ann.nearest(table, table.where("vec_id % 20 = 0")).collect()
     unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
     hits = 0
     for q in range(0, 400, 20):
@@ -248,14 +248,35 @@ def test_nearest(spark):
     assert ann.nearest(table.limit(0), table.limit(0)).collect() == []
 
 
-def test_multi_index_is_exact():
+def test_probing_meets_every_code_within_the_radius(spark):
+    """By the pigeonhole principle; and codes that differ in no more than one bit of a substring share its bucket."""
     rng = np.random.default_rng(1)
-    codes, queries = rng.integers(0, 1 << 63, 3000, dtype=np.uint64), rng.integers(0, 1 << 63, 20, dtype=np.uint64)
-    queries[:10] = codes[:10] ^ np.uint64(0b1011)
-    index = ann.MultiIndex(codes)
-    for radius in (0, 3, 5, 22):
-        q, c = index.within(queries, radius)
-        assert set(zip(q.tolist(), c.tolist())) == set(zip(*(a.tolist() for a in np.nonzero(np.bitwise_count(queries[:, None] ^ codes[None]) <= radius))))
+    x = rng.normal(size=(600, 32))
+    codes = ann.Codes(x, 5, 600)
+    codes.substrings, codes.radius = 8, 15
+    codes.turns = codes.turns[:, :128]
+    near = x[:30] + 0.05 * rng.normal(size=(30, 32))
+    table = lambda ids, v: spark.createDataFrame([(int(i), r.tolist()) for i, r in zip(ids, v)], "vec long, embedding array<double>")
+    found = {(r.q, r.vec) for r in ann.candidates(table(range(600), x), table(range(1000, 1030), near), codes).collect()}
+    apart = np.bitwise_count(codes.codes_of(near)[:, None] ^ codes.codes_of(x)[None]).sum(2)
+    want = {(1000 + int(q), int(v)) for q, v in zip(*np.nonzero(apart <= 15))}
+    assert found == want and len(want) >= 20
+
+
+def test_recall_on_embeddings(spark):
+    """All 2000 embeddings of the larger table against brute force; most codes aren't opened."""
+    folder = "/root/testdata/sf0.1"
+    rows = spark.read.parquet(f"{folder}/embeddings.parquet").toPandas()
+    x = np.stack(rows.embedding.to_numpy()).astype(float)
+    ids, x = rows.vec_id.to_numpy(), x / np.linalg.norm(x, axis=1, keepdims=True)
+    got = ann.op6(spark, folder).toPandas()
+    hits = 0
+    for q in np.flatnonzero(ids % 50 == 0):
+        score = x @ x[q]
+        score[q] = -9
+        hits += len(set(ids[np.lexsort((ids, -score))[:5]]) & set(got.vec_id[got.query_id == ids[q]]))
+    assert len(got) == 5 * (ids % 50 == 0).sum() and hits >= 0.9 * len(got)
+    assert ann.Codes(x, 5, len(x)).opened < 0.2
 
 
 def test_language(spark, docs, empty):
