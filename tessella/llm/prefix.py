@@ -1,4 +1,7 @@
-"""Near copies by Jaccard similarity of word shingles: an exact prefix-filter join and components of its pairs."""
+"""The exact way for near copies whose fingerprints are further apart than the SimHash index reaches.
+
+An exact prefix-filter join by Jaccard similarity of word shingles, and components of its pairs.
+"""
 
 from __future__ import annotations
 
@@ -14,8 +17,8 @@ from tessella.llm.components import connected_components
 SAMPLE, SEEN, MOST = 20_000, 8, 200_000
 #: Rounds that link a few members of a token only, before all pairs between the components that are left.
 ROUNDS = 3
-#: Pairs that are made at once; links up to so many are connected on the driver.
-BLOCK, FEW_LINKS = 1 << 18, 200_000
+#: Pairs that are made at once.
+BLOCK = 1 << 18
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -167,24 +170,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> Data
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _roots(links: DataFrame) -> DataFrame:
-    """(v, root) as connected_components gives; few links are connected on the driver, without its many jobs."""
-    rows = links.limit(FEW_LINKS + 1).toArrow()
-    if rows.num_rows > FEW_LINKS:
-        return settle(connected_components(links), "roots")
-    ends = np.stack([np.asarray(rows.column(k).combine_chunks(), np.int64) for k in range(2)])
-    v, at = np.unique(ends, return_inverse=True)
-    (i, j), root = at.reshape(2, -1), np.arange(len(v))
-    while (root[i] != root[j]).any():
-        low = np.minimum(root[i], root[j])
-        for x in (root[i], root[j]):
-            np.minimum.at(root, x, low)
-        while (root[root] != root).any():
-            root = root[root]
-    return settle(links.sparkSession.createDataFrame(pa.table({"v": v, "root": v[root]})), "roots")
-
-
-def jaccard_groups(docs: DataFrame, words: int = 5, share: tuple[int, int] = (4, 5), carry: str = "key") -> DataFrame:
+def jaccard_groups(docs: DataFrame, words: int = 5, share: tuple[int, int] = (4, 5), carry: str = "key", known: DataFrame | None = None) -> DataFrame:
     """(doc_id, key, root) for each row of docs(doc_id, text, carry): root is equal for rows that near copies connect.
 
     Two texts are near copies if their sets of shingles have a Jaccard similarity of share[0] / share[1] or more;
@@ -192,7 +178,8 @@ def jaccard_groups(docs: DataFrame, words: int = 5, share: tuple[int, int] = (4,
     shingles in one order for all texts, two near copies share one among the first n - ceil(share * n) + 1 of
     both. The order has rare shingles first, so a passage that many texts hold brings few of them together. Rounds
     link the neighbours and the first of each shingle's texts, then what remains in different components is
-    compared in all pairs, on whole sets. `carry` names a column that differs between rows.
+    compared in all pairs, on whole sets. `carry` names a column that differs between rows. known(a, b) gives pairs of its values that
+    are compared first, so that what they connect needs no further comparison.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(_common(docs, words))
@@ -226,11 +213,17 @@ def jaccard_groups(docs: DataFrame, words: int = 5, share: tuple[int, int] = (4,
     rows = met.select("row").distinct().join(each.select("row", "key"), "row")
     sets = settle(docs.select(key, text).join(rows, "key").select("row", "text").mapInArrow(whole, "row long, own binary"), "sets")
     tried, links, roots = None, None, None
+    if known is not None:
+        ends = rows.select(F.col("key"), "row")
+        tried = known.join(ends.toDF("a", "x"), "a").join(ends.toDF("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b")
+        tried = settle(tried.distinct(), "known")
+        links = settle(_verified(tried, sets, share), "links")
+        roots = settle(connected_components(links), "roots")
     for k in range(ROUNDS + 1):
         every = k == ROUNDS
-        known = met.withColumn("root", F.col("row")) if roots is None else met.join(roots.withColumnRenamed("v", "row"), "row", "left").select("token", "row", "n", "pos", F.coalesce("root", "row").alias("root"))
+        held = met.withColumn("root", F.col("row")) if roots is None else met.join(roots.withColumnRenamed("v", "row"), "row", "left").select("token", "row", "n", "pos", F.coalesce("root", "row").alias("root"))
         order = [F.col("n"), F.col("row")] if k == 0 else [F.xxhash64("root", F.lit(k)), F.xxhash64("row", F.lit(k))]
-        made = known.repartition(parts, "token").sortWithinPartitions("token", *order).mapInArrow(_pairs(pair, every), "a long, b long").distinct()
+        made = held.repartition(parts, "token").sortWithinPartitions("token", *order).mapInArrow(_pairs(pair, every), "a long, b long").distinct()
         made = settle(made if tried is None else made.join(tried, ["a", "b"], "left_anti"), "pairs")
         if made.isEmpty():
             if every or k == 0:
@@ -240,7 +233,7 @@ def jaccard_groups(docs: DataFrame, words: int = 5, share: tuple[int, int] = (4,
         new = settle(_verified(made, sets, share), "links")
         if not new.isEmpty():
             links = new if links is None else links.unionByName(new)
-            roots = _roots(links)
+            roots = settle(connected_components(links), "roots")
     if roots is None:
         return each.select("doc_id", "key", F.col("row").alias("root"))
     return each.join(roots.withColumnRenamed("v", "row"), "row", "left").select("doc_id", "key", F.coalesce("root", "row").alias("root"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm.common import WORD, settle
 from tessella.llm.components import connected_components
+from tessella.llm.prefix import jaccard_groups
 
 #: Codes of a block, children of a node, queries of a step.
 BLOCK_CODES, FANOUT, CHUNK = 1 << 15, 8, 1024
@@ -252,6 +253,25 @@ def simhash_groups(docs: DataFrame, words: int = 3, limit: int = 2, block: int =
     return out.select("doc_id", "fp", "key", F.coalesce("h_root", "root", "fp").alias("root"), F.when(only, F.col("doc_id")).otherwise(F.coalesce("h_component", "component_id")).alias("component_id"))
 
 
+def near_copy_groups(docs: DataFrame, words: int = 5, share: tuple[int, int] = (4, 5), limit: int = 2, carry: str = "key") -> DataFrame:
+    """(doc_id, key, root) for each row of docs(doc_id, text, carry): root is equal for rows that near copies connect.
+
+    Near copies have a Jaccard similarity of share[0] / share[1] or more on sets of shingles. The index gives the
+    rows whose fingerprints are within the limit, which are compared on whole sets; fingerprints of most pairs at
+    0.8 are further apart than any limit that an index can prune by, so an exact join finds the rest. Both
+    keep only pairs that have the similarity. Edge cases as in simhash_groups; a text of fewer words than a
+    shingle is one shingle, and texts without words are copies of each other.
+    """
+    each = settle(fingerprints(docs, words, carry), "fingerprints")
+    codes = settle(each.groupBy("fp").agg(F.min("key").alias("first"), F.count("*").alias("n")), "codes")
+    links = settle(near_links(codes.select("fp"), limit), "links")
+    first = codes.select("fp", "first")
+    across = links.join(first.toDF("a", "x"), "a").join(first.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    hot, rest = (codes.where(w).select("fp", "first") for w in (f"n >= {HOT_ROWS}", f"n > 1 and n < {HOT_ROWS}"))
+    same = [each.join(f, "fp").where("key <> first").select(F.col("key").alias("a"), F.col("first").alias("b")) for f in (F.broadcast(hot), rest)]
+    return jaccard_groups(docs, words, share, carry, across.unionByName(same[0]).unionByName(same[1]))
+
+
 def op1(spark, sf_dir: str) -> DataFrame:
     from tessella.llm.common import table
 

@@ -6,7 +6,7 @@ import re
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from tessella.llm import jaccard
+from tessella.llm import prefix, simhash
 
 
 def shingles(text):
@@ -45,12 +45,13 @@ def test_all_near_copies_are_linked(spark):
     for i, j in pairs:
         low, high = sorted((want[i], want[j]))
         want = [low if w == high else w for w in want]
-    got = {r.doc_id: r.root for r in jaccard.jaccard_groups(docs).collect()}
-    low = {}
-    for i in sorted(got):
-        low.setdefault(got[i], i)
-    assert [low[got[i]] for i in range(len(rows))] == want
-    assert jaccard.jaccard_groups(docs.limit(0)).count() == 0
+    for groups in (prefix.jaccard_groups, simhash.near_copy_groups):
+        got = {r.doc_id: r.root for r in groups(docs).collect()}
+        low = {}
+        for i in sorted(got):
+            low.setdefault(got[i], i)
+        assert [low[got[i]] for i in range(len(rows))] == want
+        assert groups(docs.limit(0)).count() == 0
 
 
 def test_the_pipeline_keeps_no_near_copy(spark):
