@@ -1,4 +1,4 @@
-"""A corpus pipeline: quality, language, exact copies, near copies (SimHash, then Jaccard), packing.
+"""A corpus pipeline: quality, language, exact copies, near copies, packing.
 
 STAGES are (name, function) pairs; a function takes (spark, docs, sf_dir) and returns a DataFrame. All but the
 last keep the columns of `documents`; each works on all rows that the one before kept.
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import exact, jaccard, langid, packing, quality, simhash
+from tessella.llm import exact, langid, packing, quality, simhash
 from tessella.llm.common import settle, table
 
 #: A document goes if its language is learnt with less probability than this, or isn't known at all.
@@ -66,15 +66,9 @@ def _without_copies(docs: DataFrame, groups: DataFrame, key: Column) -> DataFram
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of texts whose fingerprints differ in two bits at most."""
-    key = _row_key(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
-    return _without_copies(docs, simhash.simhash_groups(docs.select("doc_id", "text", key.alias("key")), carry="key"), key)
-
-
-def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near copies: Jaccard similarity of five-word shingles of 0.8 or more."""
     key = _row_key(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
-    return _without_copies(docs, jaccard.jaccard_groups(docs.select("doc_id", "text", key.alias("key"))), key)
+    return _without_copies(docs, simhash.near_copy_groups(docs.select("doc_id", "text", key.alias("key"))), key)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -87,7 +81,6 @@ STAGES = [
     ("language_id", language_stage),
     ("exact_dedup", exact_stage),
     ("simhash_near_dedup", near_stage),
-    ("jaccard_near_dedup", jaccard_stage),
     ("packing", packing_stage),
 ]
 #: SQL can't express the models and the tokenizer.
