@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
+from operator import add, and_
 
 import numpy as np
 import pyarrow as pa
@@ -11,20 +13,24 @@ from pyspark.sql import functions as F
 
 from tessella.llm.common import settle, table
 
-#: Bits of a substring by the number of vectors: enough that buckets don't grow with them. The first that reaches the recall is used.
-WIDTHS = ((1 << 22, 24), (1 << 18, 20), (1 << 13, 17), (0, 16))
-#: Most substrings of a code; bits by which a probe may differ; bits of a code that candidates are compared by.
-SUBSTRINGS_MOST, PROBE_BITS, CODE_BITS = 320, 1, 128
+#: Bits of a substring: so many more than the logarithm of the number of vectors, so that buckets don't grow with them, within these bounds.
+WIDTH_MORE, WIDTH_LEAST, WIDTH_MOST = 1, 16, 32
+#: Most substrings of a code; bits by which a probe may differ.
+SUBSTRINGS_MOST, PROBE_BITS = 320, 1
+#: 64-bit integers of a code that candidates are compared by.
+WORDS = 4
+#: A query's radius is that of its so many nearest codes among those that probing meets, and of all codes at that distance.
+RERANKED = 256
 #: Beyond PROBE_BITS a probe also flips this many at once of so many of a query's bits, those nearest to the border: (bits flipped, among).
 FLIPS = ((2, 7), (3, 6), (4, 5))
 #: Vectors that the rotations and the radius are learned from, at most, and steps of learning a rotation.
 FIT_ROWS, FIT_QUERIES, FIT_STEPS = 4096, 256, 6
 #: Shares of the fit queries' true neighbours that the substrings must meet, and that the radius must hold. The first
 #: is (all vectors are in the sample, there are more): among more vectors neighbours are nearer than in the sample.
-FIT_RECALL, FIT_RADIUS = (0.95, 0.89), 0.99
+FIT_RECALL, FIT_RADIUS = (0.95, 0.92), 0.99
 #: Queries that are compared with all rows at a time, where probing has found fewer than k.
 REST_QUERIES = 2048
-INDEX = "bucket long, vec long, c0 long, c1 long"
+INDEX = "bucket long, vec long, " + ", ".join(f"c{j} long" for j in range(WORDS))
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -42,6 +48,12 @@ def rotation(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     return turn
 
 
+def neighbours(fit: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
+    """The places of each fit vector's k nearest in x, whose first vectors they are, without itself."""
+    near = np.argsort(-(fit @ x.T), axis=1, kind="stable")[:, : k + 1].tolist()
+    return np.array([[v for v in row if v != q][:k] for q, row in enumerate(near)])
+
+
 class Codes:
     """Learned rotations, how many substrings of their signs are indexed, and the radius that neighbours need.
 
@@ -49,7 +61,7 @@ class Codes:
     pigeonhole principle all codes that differ in up to (PROBE_BITS + 1) * substrings - 1 bits share a substring but
     for PROBE_BITS bits. Neighbours are often further apart than that in all bits and still share one, more so if
     bits of the query that are near the border are flipped too (FLIPS); the number of substrings is the least that
-    meets FIT_RECALL of the true neighbours of the fit queries.
+    meets FIT_RECALL of the true neighbours of the fit queries. The radius holds FIT_RADIUS of them.
     """
 
     def __init__(self, sample: np.ndarray, k: int, n: int, seed: int = 3):
@@ -57,27 +69,24 @@ class Codes:
         self.d = x.shape[1] if x.size else 1
         self.mean = x.mean(0) if len(x) else np.zeros(self.d)
         centred, fit = x - self.mean, x[:FIT_QUERIES]
-        widths = [w for least, w in WIDTHS if n > least or not least]
-        turns = [rotation(centred[:1024] if x.size else np.zeros((0, self.d)), rng) for _ in range(-(-max(SUBSTRINGS_MOST * widths[0], CODE_BITS) // self.d))]
+        self.width = min(max((n - 1).bit_length() + WIDTH_MORE, WIDTH_LEAST), WIDTH_MOST)
+        turns = [rotation(centred[:1024] if x.size else np.zeros((0, self.d)), rng) for _ in range(-(-SUBSTRINGS_MOST * self.width // self.d))]
         self.turns = np.concatenate(turns, axis=1)
-        self.width, self.substrings, self.radius, self.opened = widths[-1], SUBSTRINGS_MOST, CODE_BITS, 1.0
+        self.substrings, self.radius, self.opened = SUBSTRINGS_MOST, 64 * WORDS, 1.0
         if len(x) > k + 1:
-            near = np.argsort(-(fit @ x.T), axis=1, kind="stable")[:, : k + 1]
-            near = np.array([[v for v in row if v != q][:k] for q, row in enumerate(near.tolist())])
-            for self.width in widths:
-                subs, asked = self.substrings_of(sample, SUBSTRINGS_MOST), self.probes_of(sample[: len(fit)], SUBSTRINGS_MOST)
-                met = np.stack([(asked[:, t, None, :] == subs[near, t, None]).any(2) for t in range(SUBSTRINGS_MOST)], axis=2)
-                recall = np.logical_or.accumulate(met, axis=2).mean((0, 1))
-                enough = np.flatnonzero(recall >= FIT_RECALL[n > len(x)])
-                if len(enough):
-                    self.substrings = int(enough[0]) + 1
-                    break
+            near = neighbours(fit, x, k)
+            subs, asked = self.substrings_of(sample, SUBSTRINGS_MOST), self.probes_of(sample[: len(fit)], SUBSTRINGS_MOST)
+            met = np.stack([(asked[:, t, None, :] == subs[near, t, None]).any(2) for t in range(SUBSTRINGS_MOST)], axis=2)
+            recall = np.logical_or.accumulate(met, axis=2).mean((0, 1))
+            enough = np.flatnonzero(recall >= FIT_RECALL[n > len(x)])
+            if len(enough):
+                self.substrings = int(enough[0]) + 1
             code = self.codes_of(sample)
             apart = np.bitwise_count(code[: len(fit), None] ^ code[near]).sum(2)
             self.radius = int(np.quantile(apart, FIT_RADIUS, method="higher"))
             seen = [np.logical_or.reduce([np.isin(subs[:, t], asked[q, t]) for t in range(self.substrings)]) for q in range(min(16, len(fit)))]
             self.opened = float(np.mean(seen))
-        self.turns = self.turns[:, : max(self.substrings * self.width, CODE_BITS)]
+        self.turns = self.turns[:, : max(self.substrings, WORDS * self.lanes) * self.width]
 
     def turned(self, vectors: np.ndarray, n: int) -> np.ndarray:
         return (_unit(vectors) - self.mean) @ self.turns[:, :n]
@@ -99,9 +108,15 @@ class Codes:
             masks += [border[:, :, list(bits)].sum(2, keepdims=True) for bits in combinations(range(among), r)]
         return own[:, :, None] ^ np.concatenate(masks, axis=2)
 
+    @property
+    def lanes(self) -> int:
+        """Substrings in 64 bits."""
+        return 64 // self.width
+
     def codes_of(self, vectors: np.ndarray) -> np.ndarray:
-        """The first CODE_BITS bits of each vector's code, in 64-bit integers."""
-        return np.packbits(self.turned(vectors, CODE_BITS) >= 0, axis=1).view(np.uint64)
+        """The first substrings of each vector's code, as many as WORDS 64-bit integers hold: those that candidates are compared by."""
+        subs = self.substrings_of(vectors, WORDS * self.lanes).astype(np.uint64).reshape(len(vectors), WORDS, self.lanes)
+        return (subs << (np.arange(self.lanes) * self.width).astype(np.uint64)).sum(2, dtype=np.uint64)
 
     def rows(self, ids: np.ndarray, vectors: np.ndarray, probes: bool):
         """INDEX rows: each substring's bucket; with probes also the buckets of its probes."""
@@ -109,7 +124,7 @@ class Codes:
         bucket = self.probes_of(vectors, self.substrings) + place[:, None] if probes else self.substrings_of(vectors, self.substrings) + place
         bucket = bucket.reshape(len(ids), -1)
         each = bucket.shape[1]
-        columns = [bucket.ravel(), np.repeat(ids, each), *(np.repeat(code[:, j].view(np.int64), each) for j in (0, 1))]
+        columns = [bucket.ravel(), np.repeat(ids, each), *(np.repeat(code[:, j].view(np.int64), each) for j in range(WORDS))]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [c.split()[0] for c in INDEX.split(", ")])
 
 
@@ -123,8 +138,12 @@ def _vectors(batch, name: str) -> np.ndarray:
     return np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
 
 
-def candidates(rows: DataFrame, asked: DataFrame, codes: Codes) -> DataFrame:
-    """(q, vec): the vectors of rows(vec, embedding) that probing finds within the radius of each of asked(vec, embedding)."""
+def candidates(rows: DataFrame, asked: DataFrame, codes: Codes, reranked: int = RERANKED) -> DataFrame:
+    """(q, vec): the vectors of rows(vec, embedding) that probing finds within the radius of each of asked(vec, embedding).
+
+    A pair that agrees on one of the substrings in its codes is met there only, so alike vectors don't meet in all tables.
+    The radius is the fitted one, or for a query with more codes in it that of its `reranked` nearest.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(codes)
 
     def buckets(probes):
@@ -138,8 +157,13 @@ def candidates(rows: DataFrame, asked: DataFrame, codes: Codes) -> DataFrame:
 
     index = rows.select("vec", "embedding").mapInArrow(buckets(False), INDEX)
     probes = asked.select("vec", "embedding").mapInArrow(buckets(True), INDEX).withColumnRenamed("vec", "q")
-    apart = sum(F.bit_count(index[c].bitwiseXOR(probes[c])) for c in ("c0", "c1"))
-    return index.join(probes, (index.bucket == probes.bucket) & (apart <= codes.radius)).select("q", "vec").distinct()
+    xor = [index[c].bitwiseXOR(probes[c]) for c in (f"c{j}" for j in range(WORDS))]
+    apart = reduce(add, map(F.bit_count, xor))
+    lane = lambda j: F.shiftrightunsigned(xor[j // codes.lanes], j % codes.lanes * codes.width).bitwiseAND(F.lit((1 << codes.width) - 1))
+    first = [(lane(j) != 0) | (F.shiftright(index.bucket, 32) <= j) for j in range(WORDS * codes.lanes)]
+    met = index.join(probes.hint("merge"), reduce(and_, first, (index.bucket == probes.bucket) & (apart <= codes.radius)))
+    pairs = met.select("q", "vec", apart.alias("apart")).distinct()
+    return pairs.withColumn("place", F.rank().over(Window.partitionBy("q").orderBy("apart"))).where(F.col("place") <= reranked).select("q", "vec")
 
 
 def _fit(rows: DataFrame, d: int, k: int, n: int) -> Codes:

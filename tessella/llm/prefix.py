@@ -16,7 +16,7 @@ from tessella.llm.components import connected_components
 #: Shingles found in SEEN of about SAMPLE texts come last in the order, by their counts; the order holds at most MOST of them.
 SAMPLE, SEEN, MOST = 20_000, 8, 200_000
 #: Rounds that link a few members of a token only, before all pairs between the components that are left.
-ROUNDS = 3
+ROUNDS = 2
 #: Pairs that are made at once.
 BLOCK = 1 << 18
 _STEP = np.uint64(0x9E3779B97F4A7C15)

@@ -253,13 +253,13 @@ def test_probing_meets_every_code_within_the_radius(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(600, 32))
     codes = ann.Codes(x, 5, 600)
-    codes.substrings, codes.radius = 8, 15
-    codes.turns = codes.turns[:, :128]
+    codes.substrings, codes.radius = 16, 31
+    codes.turns = codes.turns[:, :256]
     near = x[:30] + 0.05 * rng.normal(size=(30, 32))
     table = lambda ids, v: spark.createDataFrame([(int(i), r.tolist()) for i, r in zip(ids, v)], "vec long, embedding array<double>")
-    found = {(r.q, r.vec) for r in ann.candidates(table(range(600), x), table(range(1000, 1030), near), codes).collect()}
+    found = {(r.q, r.vec) for r in ann.candidates(table(range(600), x), table(range(1000, 1030), near), codes, 600).collect()}
     apart = np.bitwise_count(codes.codes_of(near)[:, None] ^ codes.codes_of(x)[None]).sum(2)
-    want = {(1000 + int(q), int(v)) for q, v in zip(*np.nonzero(apart <= 15))}
+    want = {(1000 + int(q), int(v)) for q, v in zip(*np.nonzero(apart <= 31))}
     assert found == want and len(want) >= 20
 
 
