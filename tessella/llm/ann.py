@@ -20,7 +20,7 @@ SUBSTRINGS_MOST, PROBE_BITS = 320, 1
 #: 64-bit integers of a code that candidates are compared by.
 WORDS = 4
 #: A query's radius is that of its so many nearest codes among those that probing meets, and of all codes at that distance.
-RERANKED = 256
+RERANKED = 512
 #: Beyond PROBE_BITS a probe also flips this many at once of so many of a query's bits, those nearest to the border: (bits flipped, among).
 FLIPS = ((2, 7), (3, 6), (4, 5))
 #: Vectors that the rotations and the radius are learned from, at most, and steps of learning a rotation.
