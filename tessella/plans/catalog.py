@@ -6,6 +6,7 @@ in 3-D have none and are tested against brute force on small fixtures.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +16,7 @@ from tessella.functions import boxes, grid, scalars, simplices
 from tessella.functions.vectors import above_plane, axes, columns, square_distance
 from tessella.operators import checkers, locate, mesh, order, partition, sample, sets, stats, triangulate, validate
 from tessella.sources import generators, points, reports
-from tessella.sources.scratch import settle
+from tessella.sources.scratch import settle, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -282,8 +283,8 @@ t AS (SELECT a.id AS a, b.id AS b, c.id AS c, (a.x - c.x) * (b.y - c.y) - (a.y -
   FROM p a JOIN p b ON a.id < b.id JOIN p c ON c.id <> a.id AND c.id <> b.id),
 e AS (SELECT a, b, min(d / s) FILTER (WHERE s > 0) AS l, max(d / s) FILTER (WHERE s < 0) AS r, arg_min(c, d / s) FILTER (WHERE s > 0) AS cl, arg_max(c, d / s) FILTER (WHERE s < 0) AS cr FROM t GROUP BY a, b),
 k AS (SELECT * FROM e WHERE l IS NULL OR r IS NULL OR r <= l),
-tri AS (SELECT DISTINCT v[1] AS v0, v[2] AS v1, v[3] AS v2 FROM (SELECT list_sort([a, b, cl]) AS v FROM k WHERE cl IS NOT NULL UNION ALL SELECT list_sort([a, b, cr]) FROM k WHERE cr IS NOT NULL)),
-f AS (SELECT v0, v1, v2, v1 AS fa, v2 AS fb, 0 AS d FROM tri UNION ALL SELECT v0, v1, v2, v0, v2, 1 FROM tri UNION ALL SELECT v0, v1, v2, v0, v1, 2 FROM tri)
+tri AS MATERIALIZED (SELECT DISTINCT v[1] AS v0, v[2] AS v1, v[3] AS v2 FROM (SELECT list_sort([a, b, cl]) AS v FROM k WHERE cl IS NOT NULL UNION ALL SELECT list_sort([a, b, cr]) FROM k WHERE cr IS NOT NULL)),
+f AS MATERIALIZED (SELECT v0, v1, v2, v1 AS fa, v2 AS fb, 0 AS d FROM tri UNION ALL SELECT v0, v1, v2, v0, v2, 1 FROM tri UNION ALL SELECT v0, v1, v2, v0, v1, 2 FROM tri)
 """
 _TRI = TRIANGLES + "SELECT v0, v1, v2 FROM tri"
 
@@ -487,6 +488,85 @@ def _(spark, d):
     return points.far_points(cust2(spark, d), 2)
 
 
+@query("set_insert", "SELECT s_suppkey AS k FROM supplier UNION SELECT c_nationkey::BIGINT FROM customer")
+def _(spark, d):
+    return sets.insert(_table(spark, d, "supplier").select(F.col("s_suppkey").alias("k")), _table(spark, d, "customer").select(F.col("c_nationkey").cast("long").alias("k")))
+
+
+@query("set_contains", "SELECT c_custkey AS k, c_custkey IN (SELECT o_custkey FROM orders) AS present FROM customer")
+def _(spark, d):
+    a, b = _keys(spark, d)
+    return sets.contains(b, a)
+
+
+@query("map_merge", "SELECT s_suppkey AS k, s_acctbal AS v FROM supplier UNION ALL SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier)")
+def _(spark, d):
+    return sets.map_merge(*_accounts(spark, d))
+
+
+def _accounts(spark, d):
+    return _table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_acctbal").alias("v")), _table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"))
+
+
+@query("multimap_merge", "SELECT s_suppkey AS k, s_acctbal AS v FROM supplier UNION ALL SELECT c_custkey, c_acctbal FROM customer")
+def _(spark, d):
+    return sets.multimap_merge(*_accounts(spark, d))
+
+
+@query("set_restrict", f"WITH {CUST2} SELECT id, x, y FROM p WHERE id IN (SELECT s_suppkey FROM supplier)")
+def _(spark, d):
+    return sets.restrict(cust2(spark, d), _table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"))).select("id", "x", "y")
+
+
+@query("set_drop", f"WITH {CUST2} SELECT id, x, y FROM p WHERE id NOT IN (SELECT s_suppkey FROM supplier)")
+def _(spark, d):
+    return sets.drop(cust2(spark, d), _table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"))).select("id", "x", "y")
+
+
+# --- ids, measurements, storage, files ---
+
+
+@query("finite_ids", f"WITH {CUST2}, a AS (SELECT id FROM p UNION ALL SELECT unnest([-4, -3, -2, -1])::BIGINT) SELECT id, id >= 0 AS finite, (id & 3)::BIGINT AS corner FROM a")
+def _(spark, d):
+    return points.all_ids(cust2(spark, d), 2).select("id", simplices.is_finite(F.col("id")).alias("finite"), simplices.far_index(F.col("id"), 2).alias("corner"))
+
+
+@query("shared_vertices", "WITH s AS (SELECT l_orderkey, l_linenumber, list_distinct([l_partkey, l_suppkey, l_orderkey]) AS a, list_distinct([l_suppkey, l_orderkey, l_linenumber::BIGINT]) AS b FROM lineitem) SELECT l_orderkey, l_linenumber, len(list_intersect(a, b))::INT AS n, len(list_intersect(a, b)) = 2 AS neighbours FROM s")
+def _(spark, d):
+    a, b = F.array("l_partkey", "l_suppkey", "l_orderkey"), F.array("l_suppkey", "l_orderkey", F.col("l_linenumber").cast("long"))
+    return _table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", simplices.shared_vertices(a, b).alias("n"), simplices.is_neighbour(a, b, 2).alias("neighbours"))
+
+
+@query("average_measurement", "SELECT o_custkey AS run, floor(sum(floor(o_totalprice)::BIGINT) / count(*))::BIGINT AS avg_price FROM orders GROUP BY 1")
+def _(spark, d):
+    runs = _table(spark, d, "orders").groupBy(F.col("o_custkey").alias("run")).agg(F.create_map(F.lit("price"), F.collect_list(F.floor("o_totalprice"))).alias("measurements"))
+    return stats.average_measurement(runs, "price").select("run", "avg_price")
+
+
+@query("median_balance", "SELECT c_nationkey, list_sort(list(c_acctbal))[(count(*) // 2 + 1)::INT] AS median FROM customer GROUP BY 1")
+def _(spark, d):
+    return _table(spark, d, "customer").groupBy("c_nationkey").agg(stats.median_at("c_acctbal").alias("median"))
+
+
+@query("storage_counts", TRIANGLES + "SELECT (SELECT count(*) FROM tri) AS simplices, 0::BIGINT AS hull, (SELECT count(*) * 64 FROM tri)::BIGINT AS simplex_bytes, (SELECT count(*) FROM p) AS points")
+def _(spark, d):
+    return stats.storage_counts(settle(_mesh()(spark, d), "mesh"), emb(spark, d, 2))
+
+
+@query("stored_points", f"WITH {CUST2} SELECT id, x, y FROM p")
+def _(spark, d):
+    path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
+    points.store(cust2(spark, d).select("id", "x", "y"), path)
+    return points.load(spark, path)
+
+
+@query("text_points", f"WITH {CUST2} SELECT x, y FROM p")
+def _(spark, d):
+    path = f"{shared_folder(spark)}/text-{uuid.uuid4().hex}"
+    points.write_points(cust2(spark, d), path, 2)
+    return points.read_points(spark, path, 2).select("x", "y")
+
+
 # --- sample graph, edge sets, reports, generators ---
 
 
