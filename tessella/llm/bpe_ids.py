@@ -58,7 +58,7 @@ class PieceIds(dict):
     def ids(self, text: str) -> bytes:
         if len(self) > CACHE_PIECES:
             self.clear()
-        if self.parts and self.parts.search(text):
+        if any(x in text for x in self.added):
             return b"".join(self.added[x] if x in self.added else self.plain(x) for x in self.parts.split(text) if x)
         return self.plain(text)
 
