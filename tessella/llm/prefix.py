@@ -15,8 +15,9 @@ from tessella.llm.components import connected_components
 
 #: Shingles found in SEEN of about SAMPLE texts come last in the order, by their counts; the order holds at most MOST of them.
 SAMPLE, SEEN, MOST = 20_000, 8, 200_000
-#: Rounds that link a few members of a token only, before all pairs between the components that are left.
-ROUNDS = 2
+#: Rounds that link a few members of a token only, before all pairs between the components that are left: how many
+#: members of a token's largest component each of its other rows meets.
+TRIES = (4, 16)
 #: Pairs that are made at once.
 BLOCK = 1 << 18
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -115,8 +116,11 @@ def _may(rows: np.ndarray, i: np.ndarray, j: np.ndarray, pair: tuple[int, int])
     return np.minimum(left[i], left[j]) >= least_overlap(n[i] + n[j], pair)
 
 
-def _pairs(pair: tuple[int, int], every: bool):
-    """(a, b) of rows with another root under one token(token, row, n, pos, root): all, or those next to each other and those with the first."""
+def _pairs(pair: tuple[int, int], tries: int | None):
+    """(a, b) of rows with another root under one token(token, row, n, pos, root): all without `tries`, or few for each row.
+
+    The few are the row next to it, the token's first row, and so many rows of the token's largest run of one root.
+    """
 
     def emit(rows, i, j):
         ok = (rows[4][i] != rows[4][j]) & _may(rows, i, j, pair)
@@ -128,10 +132,18 @@ def _pairs(pair: tuple[int, int], every: bool):
     def make(rows, bounds):
         size = np.diff(bounds)
         first = np.repeat(bounds[:-1], size)
-        if not every:
+        if tries is not None:
             at = np.arange(rows.shape[1])
             inner = np.flatnonzero(at > first)
+            turn = (mix(rows[1].view(np.uint64)) >> np.uint64(1)).astype(np.int64)
+            run = np.flatnonzero(np.concatenate([[True], (rows[4][1:] != rows[4][:-1]) | (first[1:] != first[:-1])]))
+            long = np.diff(run, append=len(at))
+            by = np.lexsort((-long, first[run]))
+            best = by[np.flatnonzero(np.diff(first[run][by], prepend=-1))]  # of each token, its longest run
+            start, wide = np.repeat(run[best], size), np.repeat(long[best], size)
             yield from emit(rows, np.concatenate([inner - 1, first[inner]]), np.concatenate([inner, inner]))
+            for k in range(tries):
+                yield from emit(rows, start + (turn + k) % wide, at)
             return
         low, high = np.minimum.reduceat(rows[4], bounds[:-1]), np.maximum.reduceat(rows[4], bounds[:-1])
         i, j, made = [], [], 0
@@ -177,8 +189,8 @@ def jaccard_groups(docs: DataFrame, words: int = 5, share: tuple[int, int] = (4,
     words are those of the word rule with A-Z as a-z, a shingle's hash has 64 bits. All such pairs are met: of n
     shingles in one order for all texts, two near copies share one among the first n - ceil(share * n) + 1 of
     both. The order has rare shingles first, so a passage that many texts hold brings few of them together. Rounds
-    link the neighbours and the first of each shingle's texts, then what remains in different components is
-    compared in all pairs, on whole sets. `carry` names a column that differs between rows. known(a, b) gives pairs of its values that
+    link each row to a few of its shingle's texts, mostly those of the largest component, then what remains in
+    different components is compared in all pairs, on whole sets. `carry` names a column that differs between rows. known(a, b) gives pairs of its values that
     are compared first, so that what they connect needs no further comparison.
     """
     spark = docs.sparkSession
@@ -218,22 +230,14 @@ def jaccard_groups(docs: DataFrame, words: int = 5, share: tuple[int, int] = (4,
         tried = known.join(ends.toDF("a", "x"), "a").join(ends.toDF("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b")
         tried = settle(tried.distinct(), "known")
         links = settle(_verified(tried, sets, share), "links")
-        roots = settle(connected_components(links), "roots")
-    for k in range(ROUNDS + 1):
-        every = k == ROUNDS
+    for k, tries in enumerate([*TRIES, None]):
         held = met.withColumn("root", F.col("row")) if roots is None else met.join(roots.withColumnRenamed("v", "row"), "row", "left").select("token", "row", "n", "pos", F.coalesce("root", "row").alias("root"))
         order = [F.col("n"), F.col("row")] if k == 0 else [F.xxhash64("root", F.lit(k)), F.xxhash64("row", F.lit(k))]
-        made = held.repartition(parts, "token").sortWithinPartitions("token", *order).mapInArrow(_pairs(pair, every), "a long, b long").distinct()
+        made = held.repartition(parts, "token").sortWithinPartitions("token", *order).mapInArrow(_pairs(pair, tries), "a long, b long").distinct()
         made = settle(made if tried is None else made.join(tried, ["a", "b"], "left_anti"), "pairs")
-        if made.isEmpty():
-            if every or k == 0:
-                break
-            continue
         tried = made if tried is None else tried.unionByName(made)
         new = settle(_verified(made, sets, share), "links")
-        if not new.isEmpty():
-            links = new if links is None else links.unionByName(new)
+        links = new if links is None else links.unionByName(new)
+        if k == 0 or not new.isEmpty():
             roots = settle(connected_components(links), "roots")
-    if roots is None:
-        return each.select("doc_id", "key", F.col("row").alias("root"))
     return each.join(roots.withColumnRenamed("v", "row"), "row", "left").select("doc_id", "key", F.coalesce("root", "row").alias("root"))
