@@ -18,6 +18,8 @@ SAMPLE, SEEN, MOST = 20_000, 8, 200_000
 #: Rounds that link a few members of a token only, before all pairs between the components that are left: how many
 #: members of a token's largest component each of its other rows meets.
 TRIES = (4, 16)
+#: Bits of a set's sketch.
+SKETCH_BITS = 1024
 #: Pairs that are made at once.
 BLOCK = 1 << 18
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -166,20 +168,46 @@ def _pairs(pair: tuple[int, int], tries: int | None):
     return lambda batches: _groups(batches, 5, make)
 
 
+def _sketches(owner: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
+    """For each of n sets, SKETCH_BITS bits: whether an odd number of its values falls on each."""
+    odd = np.bincount(owner * SKETCH_BITS + (value % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=n * SKETCH_BITS) & 1
+    return np.packbits(odd.astype(bool).reshape(n, SKETCH_BITS), axis=1)
+
+
+def _sided(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
+    """pairs(a, b) with the sizes and the column of both sets; few pairs go to where the sets are."""
+    left, right = (pairs.join(sets.select(F.col("row").alias(end), F.col("n").alias(f"n_{end}"), F.col(name).alias(f"of_{end}")), end) for end in ("a", "b"))
+    return left.join(right, ["a", "b"]).select("a", "b", "n_a", "n_b", "of_a", "of_b")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """The pairs whose whole sets have the similarity."""
+    """The pairs whose whole sets have the similarity.
+
+    Sets differ in at least as many values as their sketches in bits, so pairs whose sketches differ too much go
+    first; only what the others need of the whole sets is joined.
+    """
+
+    def most(batch):
+        both = np.asarray(batch.column(2), np.int64) + np.asarray(batch.column(3), np.int64)
+        return both - 2 * least_overlap(both, (share[0], share[0] + share[1]))
+
+    def near(batches):
+        for batch in batches:
+            x, y = (np.array(batch.column(k).to_pylist(), f"V{SKETCH_BITS // 8}").view(np.uint64).reshape(batch.num_rows, -1) for k in (4, 5))
+            ok = np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= most(batch)
+            yield batch.select(["a", "b"]).filter(pa.array(ok))
 
     def run(batches):
         for batch in batches:
-            ok = np.zeros(batch.num_rows, bool)
-            for k, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
+            left, ok = most(batch), np.zeros(batch.num_rows, bool)
+            for k, (x, y) in enumerate(zip(batch.column(4), batch.column(5))):
                 x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok[k] = both * share[1] >= (len(x) + len(y) - both) * share[0]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok))
+                ok[k] = len(x) + len(y) - 2 * len(np.intersect1d(x, y, assume_unique=True)) <= left[k]
+            yield batch.select(["a", "b"]).filter(pa.array(ok))
 
-    left, right = sets.select(F.col("row").alias("a"), F.col("own").alias("x")), sets.select(F.col("row").alias("b"), F.col("own").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    close = settle(_sided(pairs, sets, "sketch").mapInArrow(near, "a long, b long"), "close")
+    needed = sets.join(close.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "row", "left_semi")
+    return _sided(close, needed, "own").mapInArrow(run, "a long, b long")
 
 
 def jaccard_groups(docs: DataFrame, words: int = 5, share: tuple[int, int] = (4, 5), carry: str = "key", known: DataFrame | None = None) -> DataFrame:
@@ -206,37 +234,29 @@ def jaccard_groups(docs: DataFrame, words: int = 5, share: tuple[int, int] = (4,
                 pos = np.arange(len(owner)) - at[owner]
                 front = pos <= (n - least_overlap(n, share))[owner]
                 lists = pa.ListArray.from_arrays(pa.array(_lists(owner[front], part.num_rows)), pa.array(value[front].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), pa.array(n), lists], ["doc_id", "key", "row", "n", "front"])
-
-    def whole(batches):
-        for batch in batches:
-            for part in steps(batch):
-                owner, value = ordered(part.column(1), words, np.zeros(0, np.uint64), np.zeros(0, np.int64))
-                at = _lists(owner, part.num_rows)
                 own = [value[a:b].tobytes() for a, b in zip(at[:-1], at[1:])]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own, pa.binary())], ["row", "own"])
+                sketch = [x.tobytes() for x in _sketches(owner, value, part.num_rows)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), pa.array(n), lists, pa.array(sketch, pa.binary()), pa.array(own, pa.binary())], ["doc_id", "key", "row", "n", "front", "sketch", "own"])
 
     text, key = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col(carry).cast("string").alias("key")
-    front = docs.select(F.col("doc_id").cast("long"), key, text, F.monotonically_increasing_id().alias("row")).mapInArrow(prefixes, "doc_id long, key string, row long, n long, front array<long>")
+    front = docs.select(F.col("doc_id").cast("long"), key, text, F.monotonically_increasing_id().alias("row")).mapInArrow(prefixes, "doc_id long, key string, row long, n long, front array<long>, sketch binary, own binary")
     each = settle(front, "fronts")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     tokens = each.select("row", "n", F.posexplode("front").alias("pos", "token")).select("token", "row", "n", F.col("pos").cast("long").alias("pos"))
     met = settle(tokens.repartition(parts, "token").sortWithinPartitions("token").mapInArrow(_repeated, "token long, row long, n long, pos long"), "met")
-    rows = met.select("row").distinct().join(each.select("row", "key"), "row")
-    sets = settle(docs.select(key, text).join(rows, "key").select("row", "text").mapInArrow(whole, "row long, own binary"), "sets")
     tried, links, roots = None, None, None
     if known is not None:
-        ends = rows.select(F.col("key"), "row")
+        ends = each.select("key", "row")
         tried = known.join(ends.toDF("a", "x"), "a").join(ends.toDF("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b")
         tried = settle(tried.distinct(), "known")
-        links = settle(_verified(tried, sets, share), "links")
+        links = settle(_verified(tried, each, share), "links")
     for k, tries in enumerate([*TRIES, None]):
         held = met.withColumn("root", F.col("row")) if roots is None else met.join(roots.withColumnRenamed("v", "row"), "row", "left").select("token", "row", "n", "pos", F.coalesce("root", "row").alias("root"))
         order = [F.col("n"), F.col("row")] if k == 0 else [F.xxhash64("root", F.lit(k)), F.xxhash64("row", F.lit(k))]
         made = held.repartition(parts, "token").sortWithinPartitions("token", *order).mapInArrow(_pairs(pair, tries), "a long, b long").distinct()
         made = settle(made if tried is None else made.join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = made if tried is None else tried.unionByName(made)
-        new = settle(_verified(made, sets, share), "links")
+        new = settle(_verified(made, each, share), "links")
         links = new if links is None else links.unionByName(new)
         if k == 0 or not new.isEmpty():
             roots = settle(connected_components(links), "roots")
