@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.common import lowered, mix, settle, span_hashes, steps, texts_of, word_spans
@@ -18,8 +18,6 @@ SAMPLE, SEEN, MOST = 20_000, 8, 200_000
 #: Rounds that link a few members of a token only, before all pairs between the components that are left: how many
 #: members of a token's largest component each of its other rows meets.
 TRIES = (4, 16)
-#: Bits of a set's sketch.
-SKETCH_BITS = 1024
 #: Pairs that are made at once.
 BLOCK = 1 << 18
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -168,46 +166,56 @@ def _pairs(pair: tuple[int, int], tries: int | None):
     return lambda batches: _groups(batches, 5, make)
 
 
-def _sketches(owner: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
-    """For each of n sets, SKETCH_BITS bits: whether an odd number of its values falls on each."""
-    odd = np.bincount(owner * SKETCH_BITS + (value % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=n * SKETCH_BITS) & 1
-    return np.packbits(odd.astype(bool).reshape(n, SKETCH_BITS), axis=1)
+def _sketches(owner: np.ndarray, value: np.ndarray, n: int) -> pa.ListArray:
+    """For each of n sets, a power of two of bits, twice its size at least: whether an odd number of its values falls on each."""
+    size = np.bincount(owner, minlength=n)
+    bits = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(2 * size, 1))).astype(np.int64))
+    at = np.concatenate([[0], np.cumsum(bits)])
+    spot = at[owner] + (value & (bits[owner] - 1).astype(np.uint64)).astype(np.int64)
+    odd = (np.bincount(spot, minlength=at[-1]) & 1).astype(bool)
+    words = np.packbits(odd, bitorder="little").view(np.int64)
+    return pa.ListArray.from_arrays(pa.array((at // 64).astype(np.int32)), pa.array(words))
+
+
+def _differing(x: Column, y: Column) -> Column:
+    """In how many bits two sketches differ; one of twice the bits is folded to the other's first."""
+    xor = lambda a, b: a.bitwiseXOR(b)
+    fold = lambda v, n: F.when(F.size(v) > n, F.zip_with(F.slice(v, 1, n), F.slice(v, n + 1, n), xor)).otherwise(v)
+    both = F.zip_with(fold(x, F.size(y)), fold(y, F.size(x)), lambda a, b: F.bit_count(xor(a, b)))
+    return F.aggregate(both, F.lit(0), lambda s, k: s + k)
 
 
 def _sided(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
-    """pairs(a, b) with the sizes and the column of both sets; few pairs go to where the sets are."""
-    left, right = (pairs.join(sets.select(F.col("row").alias(end), F.col("n").alias(f"n_{end}"), F.col(name).alias(f"of_{end}")), end) for end in ("a", "b"))
-    return left.join(right, ["a", "b"]).select("a", "b", "n_a", "n_b", "of_a", "of_b")
+    """pairs(a, b) with the sizes and the column of both sets."""
+    side = lambda end: sets.select(F.col("row").alias(end), F.col("n").alias(f"n_{end}"), F.col(name).alias(f"of_{end}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
+def _verified(pairs: DataFrame, each: DataFrame, texts: DataFrame, words: int, share: tuple[int, int]) -> DataFrame:
     """The pairs whose whole sets have the similarity.
 
     Sets differ in at least as many values as their sketches in bits, so pairs whose sketches differ too much go
-    first; only what the others need of the whole sets is joined.
+    first. The whole sets of the others are made from texts(key, text) again and compared a pair at a time, so
+    neither all sets are stored nor many pairs' sets are in memory together.
     """
+    part, whole = share[0], share[0] + share[1]
+    sizes = F.col("n_a") + F.col("n_b")
+    fit = F.least("n_a", "n_b") * whole >= sizes * part
+    alike = _differing(F.col("of_a"), F.col("of_b")) * whole <= sizes * (whole - 2 * part)
+    close = settle(_sided(pairs, each, "sketch").where(F.when(fit, alike)).select("a", "b"), "close")
 
-    def most(batch):
-        both = np.asarray(batch.column(2), np.int64) + np.asarray(batch.column(3), np.int64)
-        return both - 2 * least_overlap(both, (share[0], share[0] + share[1]))
-
-    def near(batches):
-        for batch in batches:
-            x, y = (np.array(batch.column(k).to_pylist(), f"V{SKETCH_BITS // 8}").view(np.uint64).reshape(batch.num_rows, -1) for k in (4, 5))
-            ok = np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= most(batch)
-            yield batch.select(["a", "b"]).filter(pa.array(ok))
-
-    def run(batches):
+    def sets(batches):
         for batch in batches:
-            left, ok = most(batch), np.zeros(batch.num_rows, bool)
-            for k, (x, y) in enumerate(zip(batch.column(4), batch.column(5))):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                ok[k] = len(x) + len(y) - 2 * len(np.intersect1d(x, y, assume_unique=True)) <= left[k]
-            yield batch.select(["a", "b"]).filter(pa.array(ok))
+            for step in steps(batch):
+                owner, value = ordered(step.column(1), words, np.zeros(0, np.uint64), np.zeros(0, np.int64))
+                at = _lists(owner, step.num_rows)
+                own = pa.ListArray.from_arrays(pa.array(at), pa.array(value.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([step.column(0), pa.array(np.diff(at).astype(np.int64)), own], ["row", "n", "own"])
 
-    close = settle(_sided(pairs, sets, "sketch").mapInArrow(near, "a long, b long"), "close")
-    needed = sets.join(close.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "row", "left_semi")
-    return _sided(close, needed, "own").mapInArrow(run, "a long, b long")
+    rows = each.join(close.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "row", "left_semi").select("row", F.col("key").alias("of"))
+    needed = texts.join(rows, F.col("key").eqNullSafe(F.col("of"))).select("row", "text").mapInArrow(sets, "row long, n long, own array<long>")
+    common = F.size(F.array_intersect("of_a", "of_b"))
+    return _sided(close, settle(needed, "needed"), "own").where(common * whole >= sizes * part).select("a", "b")
 
 
 def jaccard_groups(docs: DataFrame, words: int = 5, share: tuple[int, int] = (4, 5), carry: str = "key", known: DataFrame | None = None) -> DataFrame:
@@ -234,13 +242,12 @@ def jaccard_groups(docs: DataFrame, words: int = 5, share: tuple[int, int] = (4,
                 pos = np.arange(len(owner)) - at[owner]
                 front = pos <= (n - least_overlap(n, share))[owner]
                 lists = pa.ListArray.from_arrays(pa.array(_lists(owner[front], part.num_rows)), pa.array(value[front].view(np.int64)))
-                own = [value[a:b].tobytes() for a, b in zip(at[:-1], at[1:])]
-                sketch = [x.tobytes() for x in _sketches(owner, value, part.num_rows)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), pa.array(n), lists, pa.array(sketch, pa.binary()), pa.array(own, pa.binary())], ["doc_id", "key", "row", "n", "front", "sketch", "own"])
+                sketch = _sketches(owner, value, part.num_rows)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), pa.array(n), lists, sketch], ["doc_id", "key", "row", "n", "front", "sketch"])
 
     text, key = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col(carry).cast("string").alias("key")
-    front = docs.select(F.col("doc_id").cast("long"), key, text, F.monotonically_increasing_id().alias("row")).mapInArrow(prefixes, "doc_id long, key string, row long, n long, front array<long>, sketch binary, own binary")
-    each = settle(front, "fronts")
+    front = docs.select(F.col("doc_id").cast("long"), key, text, F.monotonically_increasing_id().alias("row")).mapInArrow(prefixes, "doc_id long, key string, row long, n long, front array<long>, sketch array<long>")
+    each, texts = settle(front, "fronts"), docs.select(key, text)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     tokens = each.select("row", "n", F.posexplode("front").alias("pos", "token")).select("token", "row", "n", F.col("pos").cast("long").alias("pos"))
     met = settle(tokens.repartition(parts, "token").sortWithinPartitions("token").mapInArrow(_repeated, "token long, row long, n long, pos long"), "met")
@@ -249,14 +256,14 @@ def jaccard_groups(docs: DataFrame, words: int = 5, share: tuple[int, int] = (4,
         ends = each.select("key", "row")
         tried = known.join(ends.toDF("a", "x"), "a").join(ends.toDF("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b")
         tried = settle(tried.distinct(), "known")
-        links = settle(_verified(tried, each, share), "links")
+        links = settle(_verified(tried, each, texts, words, share), "links")
     for k, tries in enumerate([*TRIES, None]):
         held = met.withColumn("root", F.col("row")) if roots is None else met.join(roots.withColumnRenamed("v", "row"), "row", "left").select("token", "row", "n", "pos", F.coalesce("root", "row").alias("root"))
         order = [F.col("n"), F.col("row")] if k == 0 else [F.xxhash64("root", F.lit(k)), F.xxhash64("row", F.lit(k))]
         made = held.repartition(parts, "token").sortWithinPartitions("token", *order).mapInArrow(_pairs(pair, tries), "a long, b long").distinct()
         made = settle(made if tried is None else made.join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = made if tried is None else tried.unionByName(made)
-        new = settle(_verified(made, each, share), "links")
+        new = settle(_verified(made, each, texts, words, share), "links")
         links = new if links is None else links.unionByName(new)
         if k == 0 or not new.isEmpty():
             roots = settle(connected_components(links), "roots")
