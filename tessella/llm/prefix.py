@@ -213,6 +213,7 @@ def _verified(pairs: DataFrame, each: DataFrame, texts: DataFrame, words: int, s
                 yield pa.RecordBatch.from_arrays([step.column(0), pa.array(np.diff(at).astype(np.int64)), own], ["row", "n", "own"])
 
     rows = each.join(close.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "row", "left_semi").select("row", F.col("key").alias("of"))
+    rows = settle(rows, "rows")  # its size is known then, so that few rows go to where the texts are
     needed = texts.join(rows, F.col("key").eqNullSafe(F.col("of"))).select("row", "text").mapInArrow(sets, "row long, n long, own array<long>")
     common = F.size(F.array_intersect("of_a", "of_b"))
     return _sided(close, settle(needed, "needed"), "own").where(common * whole >= sizes * part).select("a", "b")

@@ -4,6 +4,7 @@ import random
 import re
 
 import corpus_pipeline
+import numpy as np
 from pyspark.sql import functions as F
 
 from tessella.llm import prefix, simhash
@@ -63,3 +64,18 @@ def test_the_pipeline_keeps_no_near_copy(spark):
         if "near" in name:
             left = stage(spark, left, "")
     assert not pairs(left)
+
+
+def test_sketches_never_differ_more_than_the_sets(spark):
+    r = np.random.default_rng(5)
+    sets = []
+    for n in (1, 30, 40, 63, 64, 65, 130, 500):
+        own = r.integers(0, 1 << 62, n).astype(np.uint64)
+        sets += [own, np.concatenate([own[: n - n // 5], r.integers(0, 1 << 62, n // 4).astype(np.uint64)])]
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    sketches = prefix._sketches(owner, np.concatenate(sets), len(sets)).to_pylist()
+    assert len({len(s) for s in sketches}) > 3
+    pairs = [(k, sketches[k], sketches[k + 1]) for k in range(0, len(sets), 2)]
+    found = spark.createDataFrame(pairs, "k int, x array<long>, y array<long>").select("k", prefix._differing(F.col("x"), F.col("y")).alias("d")).collect()
+    for row in found:
+        assert row.d <= len(set(sets[row.k].tolist()) ^ set(sets[row.k + 1].tolist()))
