@@ -135,9 +135,9 @@ def span_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[n
     return a, b
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and text numbers of the words of consecutive texts."""
-    inside = _IN_WORD[data]
+def word_spans(data: np.ndarray, offsets: np.ndarray, of: np.ndarray = _IN_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and text numbers of the words of consecutive texts; `of` tells for each byte whether it is in a word."""
+    inside = of[data]
     before = np.zeros(len(data) + 1, bool)
     before[1:] = inside
     after = np.zeros(len(data) + 1, bool)

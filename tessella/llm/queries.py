@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.llm import ann, bpe, chat, exact, kneser, langid, packing, quality, simhash, warc, whiten
+from tessella.llm import ann, bpe, chat, exact, kneser, langid, lexical, packing, quality, simhash, warc, whiten
 
 QUERIES = {
     "op1_simhash": simhash.op1,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_kneser_ney": kneser.op8,
     "op9_packing": packing.op9,
     "op10_quality": quality.op10,
+    "op11_lexical": lexical.op11,
     "op13_whitening": whiten.op13,
 }
 ORACLES = {
     "op2_exact_dedup": exact.OP2_SQL,
     "op4_chat_format": chat.OP4_SQL,
     "op5_warc": warc.OP5_SQL,
+    "op11_lexical": lexical.OP11_SQL,
 }
