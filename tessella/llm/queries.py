@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.llm import ann, bpe, chat, exact, kneser, langid, lexical, packing, quality, simhash, warc, whiten
+from tessella.llm import ann, bpe, chat, exact, jaccard, kneser, langid, lexical, packing, quality, simhash, warc, whiten
 
 QUERIES = {
     "op1_simhash": simhash.op1,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_packing": packing.op9,
     "op10_quality": quality.op10,
     "op11_lexical": lexical.op11,
+    "op12_jaccard": jaccard.op12,
     "op13_whitening": whiten.op13,
 }
 ORACLES = {

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm.common import WORD, settle
 from tessella.llm.components import connected_components
-from tessella.llm.prefix import jaccard_groups
+from tessella.llm.jaccard import jaccard_groups
 
 #: Codes of a block, children of a node, queries of a step.
 BLOCK_CODES, FANOUT, CHUNK = 1 << 15, 8, 1024
@@ -269,7 +269,8 @@ def near_copy_groups(docs: DataFrame, words: int = 5, share: tuple[int, int] = (
     across = links.join(first.toDF("a", "x"), "a").join(first.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     hot, rest = (codes.where(w).select("fp", "first") for w in (f"n >= {HOT_ROWS}", f"n > 1 and n < {HOT_ROWS}"))
     same = [each.join(f, "fp").where("key <> first").select(F.col("key").alias("a"), F.col("first").alias("b")) for f in (F.broadcast(hot), rest)]
-    return jaccard_groups(docs, words, share, carry, across.unionByName(same[0]).unionByName(same[1]))
+    found = jaccard_groups(docs, words, share, carry, across.unionByName(same[0]).unionByName(same[1]), empty=True)
+    return found.select("doc_id", "key", "root")
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
