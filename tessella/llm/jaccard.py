@@ -14,8 +14,8 @@ from tessella.llm.components import connected_components
 SAMPLE, SEEN, MOST = 20_000, 8, 200_000
 #: What writing a row of an index costs in comparisons of two rows, for the boundary between small and large sets.
 ROW_COST = 40
-#: Of this many tokens one is counted for that cost; of this many keys one is used by the first links, which are only a start.
-TOKENS_SEEN, KEYS_USED = 64, 8
+#: Of this many tokens one is counted for that cost.
+TOKENS_SEEN = 64
 #: Rows of one key that a task compares with each other; more are dealt to pairs of blocks.
 BLOCK_ROWS = 2048
 #: Turns that link a few members of a key before all its pairs are made, unless those are few enough for each row.
@@ -395,13 +395,15 @@ def jaccard_groups(docs: DataFrame, words: int = 4, share: tuple[int, int] = (85
     pairs = _Pairs(share, small)
 
     def forest(close: DataFrame) -> DataFrame:
-        """For each row one pair with the nearest, and one with the first of its rows."""
-        picks = [close.groupBy(by).agg(F.min(F.struct(F.col("apart") if near else F.lit(0), to)).alias("p")).select(F.col(by), F.col(f"p.{to}").alias(to)) for by, to in (("a", "b"), ("b", "a")) for near in (True, False)]
-        return picks[0].select("a", "b").unionByName(picks[1]).unionByName(picks[2]).unionByName(picks[3]).distinct()
+        """For each row two pairs: with its nearest row, and with that of its rows which has the most pairs."""
+        ways = settle(close.select("a", "b", "apart").unionByName(close.select(F.col("b").alias("a"), F.col("a").alias("b"), "apart")), "ways")
+        many = ways.groupBy(F.col("a").alias("b")).agg(F.count("*").alias("many"))
+        best = ways.join(many, "b").groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("near"), F.max_by("b", F.struct("many", "b")).alias("hub"))
+        pairs = best.select("a", F.explode(F.array("near", "hub")).alias("b"))
+        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     check = lambda p: settle(_verified(p, each, texts, words, share, empty), "links")
-    some = met.where(F.pmod(F.xxhash64("key"), F.lit(KEYS_USED)) == 0)
-    start = settle(some.mapInArrow(pairs.stars, "a long, b long").distinct(), "pairs")
+    start = settle(met.mapInArrow(pairs.stars, "a long, b long").distinct(), "pairs")
     links = check(forest(settle(_closest(start, each, share), "closest")))
     if known is not None:
         ends = each.join(sets.withColumnRenamed("row", "v"), ["n", "s1", "s2"]).select("key", "v")
