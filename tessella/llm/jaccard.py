@@ -18,8 +18,9 @@ ROW_COST = 40
 TOKENS_SEEN = 64
 #: Rows of one key that a task compares with each other; more are dealt to pairs of blocks.
 BLOCK_ROWS = 2048
-#: Turns that link a few members of a key before all its pairs are made, unless those are few enough for each row.
-TURNS, FEW_PAIRS, TRIES = 4, 32, 4
+#: Turns that link each row with TRIES members of its keys, before all pairs of a key are made: at most TURNS, and none after a
+#: turn whose new links are at most one in FEW_LINKS of those before.
+TURNS, TRIES, FEW_LINKS = 4, 4, 20
 #: Pairs that are made at once.
 STEP_PAIRS = 1 << 18
 #: Rows that a broadcast may hold.
@@ -355,7 +356,7 @@ def jaccard_groups(docs: DataFrame, words: int = 4, share: tuple[int, int] = (85
     All pairs that may link meet: in one order of all shingles, rare ones first, the first n - ceil(share * n) + 2 of two such sets
     share two. A small set is indexed by all pairs of its front; large sets, and those of sizes that may link with one, by lists
     of the shingles of a front that is one shorter. The boundary is the size with the least cost, or `small`. Rows of one key are linked with
-    few others first; then all pairs of a key that are in different components are compared by sizes and places, by
+    few others first, in turns; then all pairs of a key that are in different components are compared by sizes and places, by
     sketches, and by whole sets. Keys of very many rows are dealt to pairs of blocks.
     """
     if not 2 * share[0] > share[1] >= share[0] > 0:
@@ -409,19 +410,17 @@ def jaccard_groups(docs: DataFrame, words: int = 4, share: tuple[int, int] = (85
         ends = each.join(sets.withColumnRenamed("row", "v"), ["n", "s1", "s2"]).select("key", "v")
         tried = known.join(ends.toDF("a", "x"), "a").join(ends.toDF("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b")
         links = links.unionByName(check(_closest(settle(tried.distinct(), "known"), each, share)))
-    for turn in range(TURNS):
+    for turn in range(TURNS + 1):
         roots = settle(connected_components(links), "roots")
         held = met.join(roots.withColumnRenamed("v", "row"), "row", "left").select("key", "row", "n", "left", F.coalesce("root", "row").alias("root"))
         held = settle(held.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_several(5, 4), _HELD), "held")
         met = held.select("key", "row", "n", "left")
-        sizes = held.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("s"))
-        total = sizes.agg(F.sum((F.col("c") * F.col("c") - F.col("s")) / 2).alias("pairs"), F.sum("c").alias("rows")).first()
-        if not total["rows"]:
-            break
-        last = turn == TURNS - 1 or total["pairs"] <= FEW_PAIRS * total["rows"]
+        last = turn == TURNS or turn > 0 and few
         made = _in_blocks(held, parts).mapInArrow(pairs.all, "a long, b long") if last else held.mapInArrow(pairs.some, "a long, b long")
         close = settle(_closest(settle(made.distinct(), "pairs"), each, share), "closest")
-        links = links.unionByName(check(close if last else forest(close)))
+        new = check(close if last else forest(close))
+        few = new.count() * FEW_LINKS <= links.count()
+        links = links.unionByName(new)
         if last:
             roots = settle(connected_components(links), "roots")
             break

@@ -79,8 +79,8 @@ def test_hot_keys_in_blocks(spark, monkeypatch):
     passage = [f"p{k}" for k in range(12)]
     rows = [(k, " ".join(passage + [f"q{r.randrange(4)}" for _ in range(r.randint(0, 3))])) for k in range(90)]
     rows += [(100 + k, " ".join(passage + [f"own{k}w{j}" for j in range(20)])) for k in range(60)]
-    for few, small in ((0, 0), (10**9, 0), (10**9, 100)):
-        monkeypatch.setattr(jaccard, "FEW_PAIRS", few)
+    for turns, small in ((0, 0), (4, 0), (1, 100)):
+        monkeypatch.setattr(jaccard, "TURNS", turns)
         assert found(spark, rows, small=small) == plain(rows, 4, (85, 100))
 
 

@@ -13,6 +13,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from tessella.llm import ann, bpe, bpe_ids, chat, exact, kneser, langid, packing, quality, simhash, warc
+from tessella.llm import components as graph
 from tessella.llm.components import connected_components
 
 SF = "/root/testdata/sf0.01"
@@ -129,7 +130,9 @@ def test_gray_index_prunes_on_documents(spark):
     assert found == (apart(order) <= 2).sum()
 
 
-def test_components_of_a_chain(spark):
+@pytest.mark.parametrize("few", [0, 16_384])
+def test_components_of_a_chain(spark, few, monkeypatch):
+    monkeypatch.setattr(graph, "FEW_EDGES", few)
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (5, 5), (None, 3)], "a long, b long")
     got = {r.v: r.root for r in connected_components(links).collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
