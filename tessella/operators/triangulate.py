@@ -9,14 +9,13 @@ from tessella.functions.vectors import axes
 from tessella.operators.checkers import edge_simplices
 from tessella.operators.mesh import distinct_points, identified, local_meshes, with_neighbours
 from tessella.operators.partition import assign, depth_within, flatten
+from tessella.operators.tree import SKEW_LEVELS, merged, with_far
 from tessella.sources.points import far_points
 from tessella.sources.scratch import settle
 
 #: Points that one task meshes; more at the borders are parted again.
 TASK_POINTS = 50_000
 MOST_LEVELS = 8
-#: Levels that skewed points may need besides those that evenly spread ones do.
-SKEW_LEVELS = 8
 
 
 def spanning(simplices: DataFrame, assigned: DataFrame) -> DataFrame:
@@ -38,10 +37,13 @@ def merge(pieces: DataFrame, edge: DataFrame, edge_mesh: DataFrame, assigned: Da
 def mesh_parts(assigned: DataFrame, dim: int, checker: str = "bounds", width: float | None = None, task_points: int = TASK_POINTS, level: int = 0) -> DataFrame:
     """simplices(v) of points(id, x, ..., part), the same as of all points in one task.
 
+    With the checker `bounds` parts are merged bottom-up by a tree. With a grid's checkers all borders are merged at once:
     A part's simplex is final if no point of another part can be in its circumsphere. The vertices of the others,
     and those of the part's hull, make up the border set; a simplex of the whole mesh is either final in its part
     or has all its vertices there. The border set is meshed in one task if it is small, else in parts again.
     """
+    if checker == "bounds":
+        return merged(assigned, dim, task_points).where("kind = 's'").select("v")
     pieces = settle(local_meshes(assigned, dim), "pieces")
     edge = settle(edge_simplices(pieces, assigned, dim, checker, width), "edge")
     ends = edge.select(F.explode("v").alias("id")).unionByName(pieces.where("kind <> 's'").select(F.explode("v").alias("id"))).distinct()
@@ -55,18 +57,11 @@ def mesh_parts(assigned: DataFrame, dim: int, checker: str = "bounds", width: fl
         while 1 << depth < wanted:
             depth += 1
         again = flatten(assign(border.where("id >= 0"), dim, "c" if level % 2 else "e", depth))
-        again = _with_far(again, border.where("id < 0"), dim)
+        again = with_far(again, border.where("id < 0"), dim)
         edge_mesh = mesh_parts(again, dim, checker, width, task_points, level + 1)
     return merge(pieces, edge, settle(edge_mesh, "edge-mesh"), assigned.where("id >= 0"))
 
 
-def _with_far(assigned: DataFrame, far: DataFrame, dim: int) -> DataFrame:
-    """Each far point in each part: 2^dim rows a part."""
-    parts = assigned.select("part").distinct().withColumn("one", F.lit(1))
-    copies = far.withColumn("one", F.lit(1)).join(parts, "one").select("id", *axes(dim), "part")
-    return assigned.select("id", *axes(dim), "part").unionByName(copies)
-
-
 def triangulate(points: DataFrame, dim: int, kind: str = "d", depth: int | None = None, checker: str = "bounds", width: float | None = None, far: str | None = None, assigned: DataFrame | None = None, task_points: int = TASK_POINTS) -> DataFrame:
     """simplices(id, v, fp, nb) of points(id, x, y[, z]): the Delaunay mesh, whatever the partitioner.
 
@@ -82,5 +77,5 @@ def triangulate(points: DataFrame, dim: int, kind: str = "d", depth: int | None
         assigned = flatten(assign(own, dim, kind, depth, cutoff))
     assigned = settle(assigned.select("id", *axes(dim), "part"), "assigned")
     if far:
-        assigned = settle(_with_far(assigned, far_points(assigned, dim, far), dim), "assigned")
+        assigned = settle(with_far(assigned, far_points(assigned, dim, far), dim), "assigned")
     return with_neighbours(identified(settle(mesh_parts(assigned, dim, checker, width, task_points), "mesh")))
