@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from tessella.llm.common import lowered, mix, settle, span_keys, steps, table, texts_of, word_spans
 from tessella.llm.components import connected_components
 
-#: Shingles found in SEEN of about SAMPLE texts come last in the order, by their counts; the order holds at most MOST of them.
-SAMPLE, SEEN, MOST = 20_000, 8, 200_000
+#: Shingles counted in SEEN texts come last in the order, by their counts; the order holds at most MOST of them. CHUNK are counted at once.
+SEEN, MOST, CHUNK = 8, 200_000, 4 << 20
 #: What writing a row of an index costs in comparisons of two rows, for the boundary between small and large sets.
 ROW_COST = 40
 #: Of this many tokens one is counted for that cost.
@@ -78,21 +78,35 @@ def _lists(owner: np.ndarray, n: int) -> np.ndarray:
 
 
 def _common(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles that many texts of a sample hold, sorted, and their counts. Any order is exact; this one keeps groups small."""
+    """The shingles of many texts, sorted, and their counts. Any order is exact; this one keeps groups small.
+
+    All texts count. A task counts CHUNK shingles at a time and passes on those that two of its texts hold, so that what
+    is shuffled are shingles of many texts, not all; a shingle of few texts may be missed, which costs its short list only.
+    """
 
     def run(batches):
+        held, size = [], 0
+
+        def counted():
+            value, count = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(value[count > 1].view(np.int64)), pa.array(count[count > 1])], ["h", "n"])
+
         for batch in batches:
             for part in steps(batch):
                 _, value, _ = ordered(part.column(0), words, np.zeros(0, np.uint64), np.zeros(0, np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64))], ["h"])
-
-    n = docs.count()
-    some = docs.select(F.col("text").cast("string").alias("text")).where(F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1 << 20)) < F.lit(int(min(1, SAMPLE / max(n, 1)) * (1 << 20))))
-    found = some.mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= SEEN)
-    rows = found.orderBy(F.desc("count"), "h").limit(MOST).toArrow()
+                held.append(value)
+                size += len(value)
+                if size >= CHUNK:
+                    yield counted()
+                    held, size = [], 0
+        if size:
+            yield counted()
+
+    found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= SEEN)
+    rows = found.orderBy(F.desc("n"), "h").limit(MOST).toArrow()
     value = np.asarray(rows.column("h").combine_chunks(), np.int64).view(np.uint64)
     by = np.argsort(value)
-    return value[by], np.asarray(rows.column("count").combine_chunks(), np.int64)[by]
+    return value[by], np.asarray(rows.column("n").combine_chunks(), np.int64)[by]
 
 
 def sketches(owner: np.ndarray, value: np.ndarray, n: int) -> pa.ListArray:
