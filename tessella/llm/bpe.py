@@ -149,7 +149,9 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         begins[ends[(ends >= 0) & (data[ends] == 32)]] = False  # a space that ends a text has nothing after it
         seen, broken = (data >= 33) & (data <= 126), data == 10
         begins[1:n] |= (_LETTER[data[:-1]] & _SIGN[data[1:]]) | (seen[:-1] & broken[1:])
-        begins[2:n] |= seen[:-2] & broken[1:-1] & seen[2:]
+        first = np.zeros(n + 1, bool)
+        first[offsets[:-1]] = True
+        begins[2:n] |= seen[:-2] & broken[1:-1] & seen[2:] & ~first[1 : n - 1]  # a break that begins a text has nothing before it
     begins[offsets[:-1]] = True
     return np.flatnonzero(begins[:n])
 
