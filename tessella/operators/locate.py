@@ -15,66 +15,63 @@ from tessella.functions.boxes import square_gap
 from tessella.functions.simplices import in_simplex
 from tessella.functions.vectors import axes, columns, dot, minus, plus, scale, square_distance, square_length
 from tessella.operators.mesh import with_coordinates
+from tessella.operators.nearest_tree import by_broadcast, by_cells
 from tessella.sources.scratch import settle
 
-#: Centres and boxes up to so many go into the expression itself; a sample up to so many rows is broadcast.
+#: Centres and boxes up to so many go into the expression itself; a sample, or centres and boxes, up to so many rows are broadcast as a tree.
 MOST_CENTRES, MOST_SAMPLE = 4096, 4_000_000
 
 
-def _centre_rows(table: DataFrame, names: list[str], most: int) -> list:
-    rows = table.select("part", *names).orderBy("part").limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} parts; use a sample's nearest neighbour instead")
+def _part_rows(table: DataFrame, names: list[str]) -> pa.Table:
+    """The rows of parts in their order; a row per part, checked."""
+    rows = table.select("part", *names).orderBy("part").limit(MOST_SAMPLE + 1).toArrow()
+    if rows.num_rows > MOST_SAMPLE:
+        raise ValueError(f"more than {MOST_SAMPLE} parts")
     return rows
 
 
-def nearest_centre(points: DataFrame, centres: DataFrame, dim: int) -> DataFrame:
-    """(id, part) of the nearest of centres(part, x, ...); the smallest part of equals. No join: parts are few."""
-    p = columns(axes(dim))
-    tries = [F.struct(square_distance(p, [F.lit(float(r[a])) for a in axes(dim)]).alias("d"), F.lit(r["part"]).alias("part")) for r in _centre_rows(centres, axes(dim), MOST_CENTRES)]
+def _nearest_part(points: DataFrame, rows: pa.Table, dim: int, low: list[str], high: list[str], kind: str) -> DataFrame:
+    ends = [np.stack([rows[n].to_numpy().astype(np.float64) for n in names], 1) for names in (low, high)]
+    return by_broadcast(points, axes(dim), *ends, rows.select(["part"]), f"part {kind}")
+
+
+def nearest_centre(points: DataFrame, centres: DataFrame, dim: int, most: int = MOST_CENTRES) -> DataFrame:
+    """(id, part) of the nearest of centres(part, x, ...); the smallest part of equals. No join; over `most` parts a tree of them."""
+    names, rows = axes(dim), _part_rows(centres, axes(dim))
+    if rows.num_rows > most:
+        return _nearest_part(points, rows, dim, names, names, centres.schema["part"].dataType.simpleString())
+    p = columns(names)
+    tries = [F.struct(square_distance(p, [F.lit(float(r[a])) for a in names]).alias("d"), F.lit(r["part"]).alias("part")) for r in rows.to_pylist()]
     return points.select("id", F.array_min(F.array(*tries))["part"].alias("part"))
 
 
-def nearest_box(points: DataFrame, boxes: DataFrame, dim: int) -> DataFrame:
+def nearest_box(points: DataFrame, boxes: DataFrame, dim: int, most: int = MOST_CENTRES) -> DataFrame:
     """(id, part) of the nearest of boxes(part, lo_x, hi_x, ...); distance 0 inside; the smallest part of equals."""
     names, p = axes(dim), columns(axes(dim))
+    low, high = ([f"{e}_{a}" for a in names] for e in ("lo", "hi"))
+    rows = _part_rows(boxes, low + high)
+    if rows.num_rows > most:
+        return _nearest_part(points, rows, dim, low, high, boxes.schema["part"].dataType.simpleString())
     tries = []
-    for r in _centre_rows(boxes, [f"{e}_{a}" for a in names for e in ("lo", "hi")], MOST_CENTRES):
-        box = [F.lit(float(r[f"lo_{a}"])) for a in names], [F.lit(float(r[f"hi_{a}"])) for a in names]
+    for r in rows.to_pylist():
+        box = [F.lit(float(r[n])) for n in low], [F.lit(float(r[n])) for n in high]
         tries.append(F.struct(square_gap(box, p).alias("d"), F.lit(r["part"]).alias("part")))
     return points.select("id", F.array_min(F.array(*tries))["part"].alias("part"))
 
 
-def nearest_sample(points: DataFrame, sample: DataFrame, dim: int, block: int = 1 << 20) -> DataFrame:
+def nearest_sample(points: DataFrame, sample: DataFrame, dim: int, most: int = MOST_SAMPLE) -> DataFrame:
     """(id, idx, part) of the nearest of sample(idx, x, ..., part); the smallest idx of equals.
 
-    The sample grows with the square root of the points; it is broadcast if it has at most MOST_SAMPLE rows, and
-    points are compared with it in blocks of bounded memory.
+    A sample of at most `most` rows is broadcast as a k-d tree, so a point is compared with a few of its rows only. A larger
+    one is dealt to cells together with the points. A point with a coordinate that is null or not finite has the smallest
+    idx; with an empty sample idx and part are null.
     """
     names = axes(dim)
-    rows = sample.select("idx", *names, "part").orderBy("idx").limit(MOST_SAMPLE + 1).toArrow()
-    if rows.num_rows > MOST_SAMPLE:
-        raise ValueError(f"the sample has more than {MOST_SAMPLE} rows")
-    at = np.stack([np.asarray(rows.column(a).combine_chunks(), np.float64) for a in names], 1)
-    idx = np.asarray(rows.column("idx").combine_chunks(), np.int64)
-    part = rows.column("part").combine_chunks()
-    shared = points.sparkSession.sparkContext.broadcast((at, idx, part))
-    kind = sample.schema["part"].dataType.simpleString()
-
-    def run(batches):
-        at, idx, part = shared.value
-        for batch in batches:
-            p = np.stack([np.asarray(batch.column(k + 1), np.float64) for k in range(len(names))], 1)
-            best = np.zeros(len(p), np.int64)
-            step = max(1, block // max(1, len(at)))
-            for k in range(0, len(p), step):
-                gap = np.zeros((len(p[k : k + step]), len(at)))
-                for d in range(len(names)):
-                    gap += (p[k : k + step, d, None] - at[None, :, d]) ** 2
-                best[k : k + step] = gap.argmin(1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(idx[best]), part.take(pa.array(best))], ["id", "idx", "part"])
-
-    return points.select("id", *names).mapInArrow(run, f"id long, idx long, part {kind}")
+    rows = sample.select("idx", *names, "part").orderBy("idx").limit(most + 1).toArrow()
+    if rows.num_rows > most:
+        return by_cells(points, sample, dim)
+    at = np.stack([rows[a].to_numpy().astype(np.float64) for a in names], 1)
+    return by_broadcast(points, names, at, at, rows.select(["idx", "part"]), f"idx long, part {sample.schema['part'].dataType.simpleString()}")
 
 
 def _cells(placed: DataFrame, names: list[str], width: float) -> DataFrame:
