@@ -30,6 +30,8 @@ FIT_ROWS, FIT_QUERIES, FIT_STEPS = 4096, 256, 6
 FIT_RECALL, FIT_RADIUS = (0.95, 0.92), 0.99
 #: Queries that are compared with all rows at a time, where probing has found fewer than k.
 REST_QUERIES = 2048
+#: Numbers in a block of pairs that are compared at once.
+COMPARED = 1 << 20
 INDEX = "bucket long, vec long, " + ", ".join(f"c{j} long" for j in range(WORDS))
 
 
@@ -176,10 +178,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
 
     Nearness is the cosine in double precision; ties go to the smaller vec_id; a row with the query's own vec_id
     is no candidate. Vectors that are null or zero, that hold a null, NaN or infinity, whose length isn't the
-    commonest one, or that have no vec_id take no part. Queries of one vec_id count once. Other columns are
+    commonest one, or that have no vec_id take no part. Queries of one vec_id count once; a candidate counts as often as its row is repeated. Other columns are
     ignored; an empty table gives an empty result; with fewer than k candidates all are returned.
 
-    Equal vectors are searched for, and found, once, with the k + 1 smallest of their ids, so copies don't make
+    Equal vectors are searched for, and found, once, with the k + 1 smallest of their ids (k rows of each at most), so copies don't make
     buckets grow. Rotations and radius are fitted on at most FIT_ROWS vectors; every vector is indexed: a row for each
     substring of its code. Probes meet these rows in one join on the bucket; codes within the radius are reranked
     by the floats. A query that finds fewer than k is compared with all rows, REST_QUERIES at a time.
@@ -190,8 +192,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     common = rows.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
     d, n = (common["d"], common["count"]) if common else (1, 0)
     place = F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))
-    few = rows.where(F.size("embedding") == d).withColumn("place", place).where(F.col("place") <= k + 1)
-    rows = settle(few.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).select(F.col("ids")[0].alias("vec"), "ids", "embedding"), "vectors")
+    each = rows.where(F.size("embedding") == d).groupBy("embedding", "vec_id").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("n"))
+    few = each.withColumn("place", place).where(F.col("place") <= k + 1).withColumn("ids", F.array_repeat("vec_id", F.col("n")))
+    ids = F.sort_array(F.flatten(F.collect_list("ids")))
+    rows = settle(few.groupBy("embedding").agg(ids.alias("ids")).select(F.col("ids")[0].alias("vec"), "ids", "embedding"), "vectors")
     wanted = clean(queries).where(F.size("embedding") == d).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     wanted = settle(wanted.withColumn("q", F.first("vec_id").over(Window.partitionBy("embedding").orderBy("vec_id"))), "queries")
     asked = wanted.where("q = vec_id").select(F.col("vec_id").alias("vec"), "embedding")
@@ -205,11 +209,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
 
     both = pairs.join(asked.select(F.col("vec").alias("q"), F.col("embedding").alias("x")), "q").join(rows.select("vec", "ids", F.col("embedding").alias("y")), "vec")
     found = both.select("q", "ids", "x", "y").mapInArrow(scored, "q long, ids array<long>, score double").select("q", F.explode("ids").alias("vec_id"), "score")
-    by_score = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
-    best = settle(found.withColumn("place", F.row_number().over(by_score)).where(F.col("place") <= k + 1), "found")
-    short = asked.join(best.groupBy(F.col("q").alias("vec")).count().where(F.col("count") > k), "vec", "left_anti")
-    best = best.select("q", "vec_id", "score")
-    short = settle(short, "short")
+    best = settle(_best(found, k), "found")
+    own = best.groupBy("q", "vec_id").agg(F.count("*").alias("n")).groupBy(F.col("q").alias("vec")).agg(F.sum("n").alias("all"), F.max("n").alias("most"))
+    short = settle(asked.join(own.where(F.col("all") - F.col("most") >= k), "vec", "left_anti"), "short")
     if not short.isEmpty():
         best = best.join(short.select(F.col("vec").alias("q")), "q", "left_anti").unionByName(_compared(rows, short, k))
     best = best.withColumnRenamed("vec_id", "found")
@@ -218,8 +220,36 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     return out.select(F.col("vec_id").alias("query_id"), rank.alias("rank"), F.col("found").alias("vec_id"), "score").where(F.col("rank") <= k)
 
 
+def _best(found: DataFrame, k: int) -> DataFrame:
+    """(q, vec_id, score): the 2k nearest rows of each q, of which no vec_id has more than k.
+
+    Without any one vec_id, that of a query, k of them are left.
+    """
+    of_id, of_all = (Window.partitionBy(*c).orderBy(F.desc("score"), "vec_id") for c in (("q", "vec_id"), ("q",)))
+    few = found.withColumn("place", F.row_number().over(of_id)).where(F.col("place") <= k)
+    return few.withColumn("place", F.row_number().over(of_all)).where(F.col("place") <= 2 * k).select("q", "vec_id", "score")
+
+
+def _tops(near: np.ndarray, alone: np.ndarray, k: int) -> np.ndarray:
+    """(query, row) places of the rows that may hold the 2k best of _best: alone is the vec_id of rows that have one only, else -1."""
+    order = np.argsort(-near, axis=1, kind="stable")
+    ids, n = np.unique(alone[alone >= 0], return_counts=True)
+    if not len(ids) or n.max() <= k:
+        order = order[:, : 2 * k]
+        return np.stack([np.repeat(np.arange(len(near)), order.shape[1]), order.ravel()], 1)
+    by = np.argsort(alone[order], axis=1, kind="stable")
+    own = np.take_along_axis(alone[order], by, 1)
+    start = np.maximum.accumulate(np.where(np.c_[np.ones(len(own), bool), own[:, 1:] != own[:, :-1]], np.arange(own.shape[1]), 0), axis=1)
+    turn = np.empty_like(by)
+    np.put_along_axis(turn, by, np.arange(own.shape[1]) - start, 1)
+    kept = (alone[order] < 0) | (turn < k)
+    kept &= np.cumsum(kept, 1) <= 2 * k
+    q, place = np.nonzero(kept)
+    return np.stack([q, order[q, place]], 1)
+
+
 def _compared(rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    """(q, vec_id, score): the k + 1 nearest ids of each of asked among all rows, a bounded number of queries at a time."""
+    """(q, vec_id, score): the rows of _best for each of asked among all rows, a bounded number of queries at a time."""
     parts = max(1, -(-asked.count() // REST_QUERIES))
     spread = F.pmod(F.xxhash64("vec"), F.lit(parts))
     out = None
@@ -231,16 +261,19 @@ def _compared(rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
             q, x = shared.value
             for batch in batches:
                 y = _vectors(batch, "embedding") if batch.num_rows else None
+                ids = batch.column(0).to_pylist()
+                numbers = {v: n for n, v in enumerate(sorted({own[0] for own in ids}))}
+                alone = np.array([numbers[own[0]] if own[0] == own[-1] else -1 for own in ids])
                 for at in range(0, batch.num_rows, 512) if len(q) else ():
                     own = y[at : at + 512]
-                    near = cosine(np.repeat(x, len(own), axis=0), np.tile(own, (len(q), 1))).reshape(len(q), -1)
-                    top = np.argsort(-near, axis=1, kind="stable")[:, : k + 1]
-                    ids = batch.column(0).take(pa.array(top.ravel() + at))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q, top.shape[1])), ids, pa.array(np.take_along_axis(near, top, 1).ravel())], ["q", "ids", "score"])
+                    step = max(1, COMPARED // own.size)
+                    for first in range(0, len(q), step):
+                        near = cosine(np.repeat(x[first : first + step], len(own), axis=0), np.tile(own, (len(x[first : first + step]), 1))).reshape(-1, len(own))
+                        row, place = _tops(near, alone[at : at + 512], k).T
+                        yield pa.RecordBatch.from_arrays([pa.array(q[first + row]), batch.column(0).take(pa.array(place + at)), pa.array(near[row, place])], ["q", "ids", "score"])
 
         found = rows.select("ids", "embedding").mapInArrow(run, "q long, ids array<long>, score double").select("q", F.explode("ids").alias("vec_id"), "score")
-        place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))
-        found = settle(found.withColumn("place", place).where(F.col("place") <= k + 1).select("q", "vec_id", "score"), "compared")
+        found = settle(_best(found, k), "compared")
         out = found if out is None else out.unionByName(found)
     return out
 
