@@ -19,7 +19,7 @@ from tessella.operators.nearest_tree import by_broadcast, by_cells
 from tessella.sources.scratch import settle
 
 #: Centres and boxes up to so many go into the expression itself; a sample, or centres and boxes, up to so many rows are broadcast as a tree.
-MOST_CENTRES, MOST_SAMPLE = 4096, 4_000_000
+MOST_CENTRES, MOST_SAMPLE = 64, 4_000_000
 
 
 def _part_rows(table: DataFrame, names: list[str]) -> pa.Table:
