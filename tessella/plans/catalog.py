@@ -405,18 +405,30 @@ def _(spark, d):
     return validate.verify(settle(_mesh(3, "e", 2)(spark, d), "mesh"), mesh.distinct_points(own, 3), 3)
 
 
-_GEO = TRIANGLES + ", q AS (SELECT p.id AS qid, embedding[3]::DOUBLE AS x, embedding[4]::DOUBLE AS y FROM embeddings JOIN p ON p.id = vec_id + 1), tv AS (SELECT v0, v1, v2, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_, c.x AS cx, c.y AS cy FROM tri JOIN p a ON a.id = v0 JOIN p b ON b.id = v1 JOIN p c ON c.id = v2), w AS (SELECT qid, v0, v1, v2, ((x - cx) * (by_ - cy) - (y - cy) * (bx - cx)) / ((ax - cx) * (by_ - cy) - (ay - cy) * (bx - cx)) AS s, ((ax - cx) * (y - cy) - (ay - cy) * (x - cx)) / ((ax - cx) * (by_ - cy) - (ay - cy) * (bx - cx)) AS t FROM q, tv)"
+def _gap_to_edge(a: str, b: str) -> str:
+    """The square distance of (x, y) to the inner points of an edge, null beside it."""
+    ex, ey, ox, oy = f"({b}x - {a}x)", f"({b}y - {a}y)", f"(x - {a}x)", f"(y - {a}y)"
+    t = f"(({ox} * {ex} + {oy} * {ey}) / ({ex} * {ex} + {ey} * {ey}))"
+    return f"CASE WHEN {t} > 0 AND {t} < 1 THEN ({ox} - {ex} * {t}) * ({ox} - {ex} * {t}) + ({oy} - {ey} * {t}) * ({oy} - {ey} * {t}) END"
 
 
-@query("point_location", _GEO + " SELECT qid, v0, v1, v2 FROM w WHERE s >= 0 AND t >= 0 AND s + t <= 1")
+_GAP = ", ".join([*[f"({c}x - x) * ({c}x - x) + ({c}y - y) * ({c}y - y)" for c in "ijk"], *[_gap_to_edge(*e) for e in ("ij", "ik", "jk")]])
+_GEO = TRIANGLES + f""", q AS (SELECT p.id AS qid, embedding[3]::DOUBLE AS x, embedding[4]::DOUBLE AS y FROM embeddings JOIN p ON p.id = vec_id + 1),
+tv AS (SELECT v0, v1, v2, a.x AS ix, a.y AS iy, b.x AS jx, b.y AS jy, c.x AS kx, c.y AS ky FROM tri JOIN p a ON a.id = v0 JOIN p b ON b.id = v1 JOIN p c ON c.id = v2),
+w AS (SELECT qid, x, y, v0, v1, v2, ix, iy, jx, jy, kx, ky, ((x - kx) * (jy - ky) - (y - ky) * (jx - kx)) / ((ix - kx) * (jy - ky) - (iy - ky) * (jx - kx)) AS s, ((ix - kx) * (y - ky) - (iy - ky) * (x - kx)) / ((ix - kx) * (jy - ky) - (iy - ky) * (jx - kx)) AS t FROM q, tv),
+d AS (SELECT qid, v0, v1, v2, s >= 0 AND t >= 0 AND s + t <= 1 AS inside, least({_GAP}) AS gap FROM w),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY NOT inside, CASE WHEN inside THEN 0 ELSE gap END, v0, v1, v2) AS k FROM d)"""
+
+
+@query("point_location", _GEO + " SELECT qid, inside, v0, v1, v2 FROM r WHERE k = 1")
 def _(spark, d):
     s, own = settle(_mesh()(spark, d), "mesh"), emb(spark, d, 2)
     asked = _table(spark, d, "embeddings").select((F.col("vec_id") + 1).alias("qid"), F.col("embedding")[2].cast("double").alias("x"), F.col("embedding")[3].cast("double").alias("y"))
     found = settle(locate.locate(asked, s, own, 2, 0.05), "located")
     placed = mesh.with_coordinates(s, own, 2).select(F.col("id").alias("simplex_id"), "v", "at")
-    both = found.where("simplex_id is not null").join(placed, "simplex_id").join(asked, "qid")
+    both = found.join(placed, "simplex_id").join(asked, "qid")
     inside = simplices.in_simplex([[F.col("at")[k][a] for a in axes(2)] for k in range(3)], columns("x y"))
-    return both.where(inside).select("qid", *[F.col("v")[k].alias(f"v{k}") for k in range(3)])
+    return both.select("qid", inside.alias("inside"), *[F.col("v")[k].alias(f"v{k}") for k in range(3)])
 
 
 # --- nearness joins ---
@@ -570,6 +582,13 @@ def _(spark, d):
 # --- sample graph, edge sets, reports, generators ---
 
 
+#: The circumcentres (mx, my) and square radii of tri(v0, v1, v2): {0} are further columns, {1} holds the points.
+_CENTRES = """ce AS (SELECT {0}v0, v1, v2, a.x AS ox, a.y AS oy, b.x - a.x AS px, b.y - a.y AS py, c.x - a.x AS qx, c.y - a.y AS qy FROM tri JOIN (SELECT id, x, y FROM {1}) a ON a.id = v0 JOIN (SELECT id, x, y FROM {1}) b ON b.id = v1 JOIN (SELECT id, x, y FROM {1}) c ON c.id = v2),
+ch AS (SELECT *, (px * px + py * py) / 2 AS ha, (qx * qx + qy * qy) / 2 AS hb, px * qy - py * qx AS w FROM ce),
+ci AS (SELECT *, (ha * qy - hb * py) / w AS cx, (hb * px - ha * qx) / w AS cy FROM ch),
+cc AS (SELECT {0}v0, v1, v2, ox + cx AS mx, oy + cy AS my, cx * cx + cy * cy AS rr FROM ci)"""
+
+
 @query("sample_graph")
 def _(spark, d):
     return sample.build_sampling(cust2(spark, d), 2, 4, weight="linear")[1]
@@ -581,20 +600,46 @@ def _(spark, d):
     return sample.cut_edges(edges, own)
 
 
-@query("edge_simplices")
+_CYCLE = f"""WITH {EMB2}, {MID}, {_LEVEL}, g AS (SELECT id, x, y, a.path || CASE WHEN y > (ay + by_) / 2 THEN '1' ELSE '0' END AS part FROM a JOIN s ON a.path = s.path),
+t AS (SELECT a.part, a.id AS a, b.id AS b, c.id AS c, (a.x - c.x) * (b.y - c.y) - (a.y - c.y) * (b.x - c.x) AS s, (a.x - c.x) * (b.x - c.x) + (a.y - c.y) * (b.y - c.y) AS d
+  FROM g a JOIN g b ON a.part = b.part AND a.id < b.id JOIN g c ON c.part = a.part AND c.id <> a.id AND c.id <> b.id),
+e AS (SELECT part, a, b, min(d / s) FILTER (WHERE s > 0) AS l, max(d / s) FILTER (WHERE s < 0) AS r, arg_min(c, d / s) FILTER (WHERE s > 0) AS cl, arg_max(c, d / s) FILTER (WHERE s < 0) AS cr FROM t GROUP BY part, a, b),
+k AS (SELECT * FROM e WHERE l IS NULL OR r IS NULL OR r <= l),
+tri AS MATERIALIZED (SELECT DISTINCT part, v[1] AS v0, v[2] AS v1, v[3] AS v2 FROM (SELECT part, list_sort([a, b, cl]) AS v FROM k WHERE cl IS NOT NULL UNION ALL SELECT part, list_sort([a, b, cr]) FROM k WHERE cr IS NOT NULL)),
+{_CENTRES.format('part, ', 'g')},
+box AS (SELECT part AS other, min(x) AS lx, max(x) AS hx, min(y) AS ly, max(y) AS hy FROM g GROUP BY 1)
+SELECT DISTINCT part, v0, v1, v2 FROM cc JOIN box ON part <> other WHERE pow(greatest(lx - mx, 0) + greatest(mx - hx, 0), 2) + pow(greatest(ly - my, 0) + greatest(my - hy, 0), 2) <= rr * (1 + 1e-9)"""
+
+
+@query("edge_simplices", _CYCLE)
 def _(spark, d):
     own = partition.flatten(partition.assign(mesh.distinct_points(emb(spark, d, 2), 2), 2, "c", 2))
     return checkers.edge_simplices(settle(mesh.local_meshes(own, 2), "pieces"), own, 2).select("part", *[F.col("v")[k].alias(f"v{k}") for k in range(3)])
 
 
-@query("dual_edges")
+_DUAL = TRIANGLES + f""", {_CENTRES.format('', 'p')}, n AS (SELECT *, row_number() OVER (ORDER BY v0, v1, v2) - 1 AS id FROM cc),
+g AS (SELECT f.fa, f.fb, n.id, mx, my FROM f JOIN n ON f.v0 = n.v0 AND f.v1 = n.v1 AND f.v2 = n.v2)
+SELECT a.id, b.id AS nb, a.mx AS x, a.my AS y, b.mx AS x2, b.my AS y2 FROM g a JOIN g b ON a.fa = b.fa AND a.fb = b.fb AND a.id < b.id"""
+
+
+@query("dual_edges", _DUAL)
 def _(spark, d):
     return mesh.dual_edges(settle(_mesh()(spark, d), "mesh"), emb(spark, d, 2), 2)
 
 
-@query("spatial_order", f"WITH {CUST2} SELECT id, x, y FROM p")
+_HILBERT = f"""WITH RECURSIVE {CUST2}, b AS (SELECT min(x) AS lx, max(x) AS hx, min(y) AS ly, max(y) AS hy FROM p),
+h AS (SELECT id, floor((x - lx) / (hx - lx) * 65535)::BIGINT AS c, floor((y - ly) / (hy - ly) * 65535)::BIGINT AS d, 32768::BIGINT AS q FROM p, b
+  UNION ALL SELECT id, CASE WHEN (d & q) > 0 THEN xor(a, q - 1) ELSE xor(a, xor(a, d) & (q - 1)) END, CASE WHEN (d & q) > 0 THEN d ELSE xor(d, xor(a, d) & (q - 1)) END, q // 2
+  FROM (SELECT id, CASE WHEN (c & q) > 0 THEN xor(c, q - 1) ELSE c END AS a, d, q FROM h WHERE q > 1)),
+g AS (SELECT id, c, xor(c, d) AS e FROM h WHERE q = 1),
+u AS (SELECT id, c, e, bit_xor(CASE WHEN (e & (1 << k)) > 0 THEN (1 << k) - 1 ELSE 0 END) AS t FROM g, (SELECT unnest(range(1, 16))::BIGINT AS k) GROUP BY id, c, e),
+v AS (SELECT id, sum((((xor(c, t) >> k) & 1) << (2 * k + 1)) + (((xor(e, t) >> k) & 1) << (2 * k)))::BIGINT AS curve FROM u, (SELECT unnest(range(0, 16))::BIGINT AS k) GROUP BY id)
+SELECT id, row_number() OVER (ORDER BY curve, id) - 1 AS place FROM v"""
+
+
+@query("spatial_order", _HILBERT)
 def _(spark, d):
-    return order.spatial_sort(cust2(spark, d), 2).select("id", "x", "y")
+    return order.spatial_places(cust2(spark, d), 2)
 
 
 @query("metis_lines", _EDGES + ", l AS (SELECT src, string_agg(dst::VARCHAR || ' 1', ' ' ORDER BY dst) AS line FROM (SELECT src - 1 AS src, dst FROM g) GROUP BY src) SELECT i AS idx, coalesce(line, '') AS line FROM (SELECT unnest(range((SELECT count(*) FROM p))) AS i) LEFT JOIN l ON src = i UNION ALL SELECT -1, (SELECT count(*) FROM p)::VARCHAR || ' ' || (count(*) // 2)::VARCHAR || ' 1' FROM g")
