@@ -23,6 +23,8 @@ from tessella.llm.hashstore import HashStore, map_arrays, shard_of, write_arrays
 RANK_BUCKETS = 1 << 16
 #: Pieces of more bytes are merged with a heap: the steps of the fold cost the square of the length.
 FOLD_BYTES = 128
+#: Code points that Java's Unicode tables leave unassigned: newer tables may call them letters or digits.
+UNKNOWN = r"\p{Cn}"
 DISTINCT_FLUSH = 1 << 20
 NONE = 1 << 30
 
@@ -256,22 +258,30 @@ def make_vocabulary(docs: DataFrame, ranks: dict[bytes, int], pattern: str = PAT
     """Ids of the distinct pieces of docs(text), by the fold over the literal rank map.
 
     Distinct pieces are found in each task before they are shuffled. Java's (?U) gives the pattern the Unicode
-    classes. `hashes` gives the 64-bit keys of pieces; of pieces with one key, one is merged here, and the others
+    classes; pieces with a code point that this Java doesn't know are split by `regex`, whose tables are newer, and
+    merged with the heap. `hashes` gives the 64-bit keys of pieces; of pieces with one key, one is merged here, and the others
     where the texts are encoded.
     """
     spark = docs.sparkSession
     literal = rank_literal(ranks)
     found = settle(distinct_pieces(docs, hashes), "pieces")
     matches = F.transform(F.regexp_extract_all("piece", F.lit("(?U)" + pattern), F.lit(0)), lambda m: F.hex(m.cast("binary")))
-    short = F.octet_length("piece") <= fold_bytes
-    folded = found.where(short).select("key", merge_matches(matches, literal).alias("ids"))
+    unknown, short = F.col("piece").rlike(UNKNOWN), F.octet_length("piece") <= fold_bytes
+    folded = found.where(short & ~unknown).select("key", merge_matches(matches, literal).alias("ids"))
 
     def merge_long(batches):
         for batch in batches:
             ids = [[i for m in row.as_py() for i in merge_bytes(bytes.fromhex(m), ranks)] for row in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["key", "ids"])
 
-    long = found.where(~short).select("key", matches.alias("matches")).mapInArrow(merge_long, "key long, ids array<int>")
+    def split_and_merge(batches):
+        every = regex.compile(pattern)
+        for batch in batches:
+            ids = [[i for m in every.findall(piece.as_py()) for i in merge_bytes(m.encode(), ranks)] for piece in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["key", "ids"])
+
+    long = found.where(~short & ~unknown).select("key", matches.alias("matches")).mapInArrow(merge_long, "key long, ids array<int>")
+    newer = found.where(unknown).select("key", "piece").mapInArrow(split_and_merge, "key long, ids array<int>")
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     folder = fresh_path(spark, "vocabulary")
     make_folder(folder)
@@ -292,7 +302,7 @@ def make_vocabulary(docs: DataFrame, ranks: dict[bytes, int], pattern: str = PAT
         file = write_arrays(folder, keys, np.cumsum(lengths).astype(np.uint64))
         return pa.table({"shard": [part.column("shard")[0].as_py()], "file": [file], "n": [len(keys)], "id_file": [write_arrays(folder, ids)], "n_ids": [len(ids)]})
 
-    index = folded.unionAll(long).mapInArrow(with_shard, "shard long, key long, ids array<int>").groupBy("shard").applyInArrow(write, "shard long, file string, n long, id_file string, n_ids long")
+    index = folded.unionAll(long).unionAll(newer).mapInArrow(with_shard, "shard long, key long, ids array<int>").groupBy("shard").applyInArrow(write, "shard long, file string, n long, id_file string, n_ids long")
     rows = settle(index, "vocabulary-index").collect()  # a row for each shard
     return Vocabulary(HashStore({r.shard: (r.file, r.n) for r in rows}, shards, ["u8"]), {r.shard: (r.id_file, r.n_ids) for r in rows}, ranks, pattern, hashes)
 
