@@ -15,7 +15,7 @@ from tessella.llm import bpe
 def test_java_differs_on_unknown_code_points_only(spark):
     """Where Java and `regex` put a code point in other classes, Java doesn't know it, so its piece goes to `regex`."""
     points = [k for k in range(0x110000) if not 0xD800 <= k < 0xE000]
-    rows = spark.createDataFrame([(k, chr(k)) for k in points if regex.match(r"\p{L}|\p{N}|\s", chr(k)) or k % 7 == 0], "k long, c string")
+    rows = spark.createDataFrame([(k, chr(k)) for k in points], "k long, c string")
     classes = [r"\p{L}", r"\p{N}", r"\s"]
     java = rows.select("k", F.col("c").rlike(bpe.UNKNOWN).alias("unknown"), *[F.col("c").rlike("(?U)" + x).alias(f"c{n}") for n, x in enumerate(classes)]).where("not unknown").collect()
     assert len(java) > 130_000
