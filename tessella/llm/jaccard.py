@@ -18,6 +18,8 @@ ROW_COST = 40
 TOKENS_SEEN = 64
 #: Rows of one key that a task compares with each other; more are dealt to pairs of blocks.
 BLOCK_ROWS = 2048
+#: Pairs of a key with more rows are made only if their sketches, folded to at most BRIEF words of 64 bits, are close enough; STEP_BRIEF at once.
+LONG_KEY, BRIEF, STEP_BRIEF = 32, 16, 1 << 14
 #: Turns that link each row with TRIES members of its keys, before all pairs of a key are made: at most TURNS, and none after a
 #: turn whose new links are at most one in FEW_LINKS of those before.
 TURNS, TRIES, FEW_LINKS = 4, 4, 20
@@ -128,6 +130,14 @@ def differing(x: Column, y: Column) -> Column:
     return F.aggregate(both, F.lit(0), lambda s, k: s + k)
 
 
+def briefs(sketch: Column) -> list[Column]:
+    """A sketch folded to at most BRIEF words: how many it has, then the words, padded with zeros."""
+    rest = F.sequence(F.lit(1), F.greatest(F.size(sketch) / BRIEF, F.lit(1)).cast("int"))
+    words = F.least(F.size(sketch), F.lit(BRIEF))
+    word = lambda k: F.aggregate(rest, F.lit(0).cast("long"), lambda s, i: s.bitwiseXOR(F.coalesce(F.get(sketch, (i - 1) * BRIEF + k), F.lit(0).cast("long"))))
+    return [words.cast("long").alias("words"), *[word(k).alias(f"w{k}") for k in range(BRIEF)]]
+
+
 def _boundary(fronts: DataFrame) -> int:
     """The largest size of a small set: where subsets of all smaller sets and lists of all larger ones cost least together.
 
@@ -234,10 +244,29 @@ class _Pairs:
         odd = (rows[0][i] & 1) == 1
         return (low * whole >= high * part) & (np.minimum(left[i], left[j]) >= least_overlap(n[i] + n[j], (part, part + whole))) & (~odd | (high > self.small))
 
+    def near(self, rows: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether the brief sketches of pairs that sizes allow, so that one has at most twice the words, differ in few enough bits."""
+        part, whole = self.share[0], sum(self.share)
+        words, most = rows[6], int(rows[6].max())
+        full = np.ascontiguousarray(rows[7 : 7 + most].T).view(np.uint64)
+        at = np.arange(most) + np.maximum(words // 2, 1)[:, None]
+        upper = np.where(at < words[:, None], np.take_along_axis(full, np.minimum(at, most - 1), 1), np.uint64(0))
+        half = np.where(np.arange(most) < words[:, None] // 2, full ^ upper, np.uint64(0))
+        ok = np.zeros(len(i), bool)
+        for k in range(0, len(i), STEP_BRIEF):
+            a, b = i[k : k + STEP_BRIEF], j[k : k + STEP_BRIEF]
+            wa, wb = words[a][:, None], words[b][:, None]
+            apart = np.bitwise_count(np.where(wa > wb, half[a], full[a]) ^ np.where(wb > wa, half[b], full[b])).sum(1, dtype=np.int64)
+            ok[k : k + STEP_BRIEF] = apart * whole <= (rows[2][a] + rows[2][b]) * (whole - 2 * part)
+        return ok
+
     def emit(self, rows, i, j):
         ok = (rows[1][i] != rows[1][j]) & self.may(rows, i, j)
         if len(rows) > 4:
             ok &= rows[4][i] != rows[4][j]
+        if len(rows) > 6:
+            at = np.flatnonzero(ok)
+            ok[at] = self.near(rows, i[at], j[at])
         if ok.any():
             a, b = rows[1][i[ok]], rows[1][j[ok]]
             both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
@@ -272,8 +301,8 @@ class _Pairs:
 
         return _groups(batches, 5, make)
 
-    def all(self, batches):
-        """All pairs of each key; rows of different blocks, where the last column is negative, only across."""
+    def all(self, batches, names: int = 6):
+        """All pairs of each key; rows of different blocks, where the sixth column isn't negative, only across."""
 
         def make(rows, bounds):
             i, j, made = [], [], 0
@@ -288,19 +317,32 @@ class _Pairs:
                     j.append(y[keep])
                     made += len(i[-1])
                     if made >= STEP_PAIRS:
-                        yield from self.emit(rows[:5], np.concatenate(i), np.concatenate(j))
+                        yield from self.emit(rows[: names - (names == 6)], np.concatenate(i), np.concatenate(j))
                         i, j, made = [], [], 0
             if made:
-                yield from self.emit(rows[:5], np.concatenate(i), np.concatenate(j))
+                yield from self.emit(rows[: names - (names == 6)], np.concatenate(i), np.concatenate(j))
+
+        return _groups(batches, names, make)
+
+    def close(self, batches):
+        """As all, of rows with brief sketches: only pairs that are close by them."""
+        return self.all(batches, 7 + BRIEF)
+
 
-        return _groups(batches, 6, make)
+def _all_pairs(held: DataFrame, each: DataFrame, pairs: _Pairs, parts: int) -> DataFrame:
+    """(a, b) of held(key, row, n, left, root) that pairs can't rule out; a key of at most LONG_KEY rows makes LONG_KEY / 2 for each of them at most."""
+    long = settle(held.groupBy("key").count().where(F.col("count") > min(LONG_KEY, BLOCK_ROWS)), "long-keys")
+    few = F.broadcast(long) if long.count() <= BROADCAST_ROWS else long
+    short = held.join(few, "key", "left_anti").withColumn("side", F.lit(-1).cast("long"))
+    made = short.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(pairs.all, "a long, b long")
+    rows = settle(held.join(few, "key"), "long-rows")
+    own = each.join(rows.select("row").distinct(), "row", "left_semi").select("row", *briefs(F.col("sketch")))
+    return made.unionAll(_in_blocks(rows.join(settle(own, "briefs"), "row"), parts).mapInArrow(pairs.close, "a long, b long"))
 
 
-def _in_blocks(held: DataFrame, parts: int) -> DataFrame:
-    """held(key, row, n, left, root) with whole keys sorted in partitions: keys of over BLOCK_ROWS rows become a key for each pair of their blocks."""
-    hot = settle(held.groupBy("key").count().where(F.col("count") > BLOCK_ROWS), "hot-keys")
-    few = hot.count() <= BROADCAST_ROWS
-    wide = held.join(F.broadcast(hot) if few else hot, "key", "left")
+def _in_blocks(wide: DataFrame, parts: int) -> DataFrame:
+    """wide(key, row, n, left, root, count, brief sketch) with whole keys sorted in partitions: keys of over BLOCK_ROWS rows become a key for each pair of their blocks."""
+    wide = wide.withColumn("count", F.when(F.col("count") > BLOCK_ROWS, F.col("count")))
     blocks = F.ceil(F.col("count") / BLOCK_ROWS).cast("int")
     own = F.pmod(F.xxhash64("row", F.lit(3)), F.greatest(blocks, F.lit(1))).cast("int")
     each = wide.withColumn("own", own).withColumn("to", F.explode(F.when(F.col("count").isNull(), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), blocks - 1))))
@@ -309,7 +351,7 @@ def _in_blocks(held: DataFrame, parts: int) -> DataFrame:
     parity = F.col("key").bitwiseAND(F.lit(1))
     key = F.when(alone, F.col("key")).otherwise(F.xxhash64("key", low, high).bitwiseAND(F.lit(-2)).bitwiseOR(parity))
     side = F.when(alone | (F.col("own") == F.col("to")), F.lit(-1)).otherwise(F.col("own")).cast("long")
-    dealt = each.select(key.alias("key"), "row", "n", "left", "root", side.alias("side"))
+    dealt = each.select(key.alias("key"), "row", "n", "left", "root", side.alias("side"), "words", *[f"w{k}" for k in range(BRIEF)])
     return dealt.repartition(parts, "key").sortWithinPartitions("key")
 
 
@@ -371,7 +413,8 @@ def jaccard_groups(docs: DataFrame, words: int = 4, share: tuple[int, int] = (85
     share two. A small set is indexed by all pairs of its front; large sets, and those of sizes that may link with one, by lists
     of the shingles of a front that is one shorter. The boundary is the size with the least cost, or `small`. Rows of one key are linked with
     few others first, in turns; then all pairs of a key that are in different components are compared by sizes and places, by
-    sketches, and by whole sets. Keys of very many rows are dealt to pairs of blocks.
+    sketches, and by whole sets. Pairs of a key with many rows are made only if brief sketches are close; keys of very many rows are dealt
+    to pairs of blocks. If more pairs than there are links are left, each row's nearest and its hub are linked before the others.
     """
     if not 2 * share[0] > share[1] >= share[0] > 0:
         raise ValueError("the similarity must be over a half and at most 1")
@@ -424,14 +467,16 @@ def jaccard_groups(docs: DataFrame, words: int = 4, share: tuple[int, int] = (85
         ends = each.join(sets.withColumnRenamed("row", "v"), ["n", "s1", "s2"]).select("key", "v")
         tried = known.join(ends.toDF("a", "x"), "a").join(ends.toDF("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b")
         links = links.unionByName(check(_closest(settle(tried.distinct(), "known"), each, share)))
-    for turn in range(TURNS + 1):
+    whole = False
+    for turn in range(TURNS + 2):
         roots = settle(connected_components(links), "roots")
         held = met.join(roots.withColumnRenamed("v", "row"), "row", "left").select("key", "row", "n", "left", F.coalesce("root", "row").alias("root"))
         held = settle(held.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_several(5, 4), _HELD), "held")
         met = held.select("key", "row", "n", "left")
-        last = turn == TURNS or turn > 0 and few
-        made = _in_blocks(held, parts).mapInArrow(pairs.all, "a long, b long") if last else held.mapInArrow(pairs.some, "a long, b long")
+        again, whole = whole, whole or turn == TURNS or turn > 0 and few
+        made = _all_pairs(held, each, pairs, parts) if whole else held.mapInArrow(pairs.some, "a long, b long")
         close = settle(_closest(settle(made.distinct(), "pairs"), each, share), "closest")
+        last = again or whole and close.count() <= links.count()
         new = check(close if last else forest(close))
         few = new.count() * FEW_LINKS <= links.count()
         links = links.unionByName(new)

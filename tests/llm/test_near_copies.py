@@ -90,3 +90,36 @@ def test_no_copy_by_chance(spark):
     for name, stage in corpus_pipeline.STAGES:
         if "near" in name:
             assert stage(spark, docs, "").count() == 2
+
+
+def test_copies_that_are_too_far_apart_make_few_pairs(spark, monkeypatch):
+    """Texts with edits of their own share all common shingles, and sizes and places allow their pairs; pairs don't grow with the group's square."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choices("abcdefghijklmnop", k=8))
+    rows = []
+    for size, edits in ((100, 2), (130, 3), (700, 14)):  # sketches of 4, 8 and 32 words
+        base = [word() for _ in range(size)]
+        for k in range(200):
+            own = list(base)
+            for place in r.sample(range(2, size - 2), edits if k % 10 else 1):
+                own[place] = word()
+            rows.append(" ".join(own))
+    docs = spark.createDataFrame([(i, t, str(i)) for i, t in enumerate(rows)], "doc_id long, text string, key string").repartition(3)
+    made, settle = [], jaccard.settle
+
+    def counted(df, tag):
+        out = settle(df, tag)
+        if tag == "pairs":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "settle", counted)
+    got = {x.doc_id: x.component_id for x in jaccard.jaccard_groups(docs, 5, (4, 5), "key", empty=True).collect()}
+    assert max(made) < 8 * len(rows), made
+    sets, want = [shingles(t) for t in rows], list(range(len(rows)))
+    for i in want[:]:
+        for j in range(i - i % 200, i):
+            if want[i] != want[j] and near(sets[i], sets[j]):
+                low, high = sorted((want[i], want[j]))
+                want = [low if w == high else w for w in want]
+    assert [got[i] for i in range(len(rows))] == want
