@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,37 +11,41 @@ from tessella.functions.vectors import axes
 from tessella.sources.scratch import settle
 
 
+def _places(cells: list[np.ndarray], bits: int) -> np.ndarray:
+    n, at = len(cells), [c.copy() for c in cells]
+    for b in range(bits - 1, 0, -1):
+        step = 1 << b
+        for axis in range(n):
+            yes = at[axis] & step != 0
+            swap = np.where(yes, 0, (at[0] ^ at[axis]) & (step - 1))
+            at[0] ^= np.where(yes, step - 1, swap)
+            if axis:
+                at[axis] ^= swap
+    for d in range(1, n):
+        at[d] ^= at[d - 1]
+    flips = np.zeros_like(at[0])
+    for b in range(bits - 1, 0, -1):
+        flips ^= np.where(at[-1] & (1 << b) != 0, (1 << b) - 1, 0)
+    out = np.zeros_like(flips)
+    for d in range(n):
+        for b in range(bits):
+            out |= ((at[d] ^ flips) >> b & 1) << (b * n + n - 1 - d)
+    return out
+
+
 def curve_key(names: list[str], low: list[float], high: list[float], bits: int = 16) -> Column:
     """The place of a point's cell on a Hilbert curve over the bounds.
 
-    A state machine over the bits, from the highest: each turns or mirrors the axes of the lower ones. It is folded by
-    higher-order functions, over the bits and, within a bit, over the axes; what is left is the Gray code of the place.
+    A state machine over the bits, from the highest: each turns or mirrors the axes of the lower ones; what is left is the
+    Gray code of the place. It runs over whole Arrow batches: higher-order functions are interpreted for each row, axis and bit.
     """
-    n, whole = len(names), lambda v: F.lit(v).cast("long")
     share = [F.least(F.greatest((F.col(a) - lo) / ((hi - lo) or 1.0), F.lit(0.0)), F.lit(1.0)) for a, lo, hi in zip(names, low, high)]
-    cells = F.array(*[(c * ((1 << bits) - 1)).cast("long") for c in share])
-    steps = F.array(*[whole(1 << b) for b in range(bits - 1, 0, -1)]) if bits > 1 else F.array().cast("array<long>")
-    one = whole(1)
-
-    def turned(at: Column, step: Column, axis: Column) -> Column:
-        own = F.get(at, axis)
-        mirror = F.struct((own.bitwiseAND(step) != 0).alias("yes"), F.get(at, F.lit(0)).bitwiseXOR(own).bitwiseAND(step - one).alias("swap"))
-        mask = lambda k: F.when(mirror["yes"], F.when(k == 0, step - one).otherwise(whole(0))).otherwise(F.when((k == 0) | (k == axis), mirror["swap"]).otherwise(whole(0)))
-        return F.transform(at, lambda x, k: x.bitwiseXOR(mask(k)))
-
-    turned_all = F.aggregate(steps, cells, lambda at, step: F.aggregate(F.array(*[F.lit(d) for d in range(n)]), at, lambda own, axis: turned(own, step, axis)))
-
-    def place(at: Column) -> Column:
-        gray = [F.get(at, F.lit(0))]
-        for d in range(1, n):
-            gray.append(gray[-1].bitwiseXOR(F.get(at, F.lit(d))))
-        flips = F.aggregate(steps, whole(0), lambda t, step: t.bitwiseXOR(F.when(gray[-1].bitwiseAND(step) != 0, step - one).otherwise(whole(0))))
-        code = F.array(*[g.bitwiseXOR(flips) for g in gray])
-        levels = F.array(*[F.lit(b) for b in range(bits)])
-        woven = lambda c, d: F.aggregate(levels, whole(0), lambda out, b: out.bitwiseOR(F.call_function("shiftleft", F.call_function("shiftright", c, b).bitwiseAND(one), b * n + (n - 1) - d)))
-        return F.aggregate(F.transform(code, lambda c, d: woven(c, d)), whole(0), lambda a, b: a.bitwiseOR(b))
-
-    return F.transform(F.array(turned_all), place)[0]
+
+    @F.pandas_udf("long")
+    def place(*cells: pd.Series) -> pd.Series:
+        return pd.Series(_places([c.to_numpy(np.int64) for c in cells], bits))
+
+    return place(*[(c * ((1 << bits) - 1)).cast("long") for c in share])
 
 
 def spatial_sort(points: DataFrame, dim: int, bounds: tuple[list[float], list[float]] | None = None) -> DataFrame:
