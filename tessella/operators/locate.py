@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 from itertools import combinations
+from math import prod
 from operator import and_
 
 import numpy as np
@@ -74,6 +75,17 @@ def nearest_sample(points: DataFrame, sample: DataFrame, dim: int, most: int = M
     return by_broadcast(points, names, at, at, rows.select(["idx", "part"]), f"idx long, part {sample.schema['part'].dataType.simpleString()}")
 
 
+def _fitted(placed: DataFrame, names: list[str], width: float) -> float:
+    """A cell width of at most `width` at which the box around all simplices has no more cells than there are simplices.
+
+    With a fixed width the rows that meet in a cell grow with the square of the density.
+    """
+    ends = [f(g(F.col("at")[a])) for a in names for f, g in ((F.min, F.array_min), (F.max, F.array_max))]
+    n, *box = placed.agg(F.count("*"), *ends).first()
+    spans = [high - low for low, high in zip(box[::2], box[1::2])] if n else [0.0]
+    return min(width, (prod(spans) / n) ** (1 / len(names))) if min(spans) > 0 else width
+
+
 def _cells(placed: DataFrame, names: list[str], width: float) -> DataFrame:
     """A row of placed(id, at) for each grid cell that the simplex's bounding box meets."""
     out = placed
@@ -129,7 +141,7 @@ def _nearest(open_: DataFrame, placed: DataFrame, names: list[str], width: float
 def locate(queries: DataFrame, simplices: DataFrame, points: DataFrame, dim: int, width: float) -> DataFrame:
     """(qid, simplex_id) of the simplex that holds each of queries(qid, x, ...), the smallest id of several.
 
-    Both sides are dealt to grid cells and joined on them, so a query meets only the simplices near it. A query
+    Both sides are dealt to grid cells of `width` at most, less if simplices are dense, and joined on them, so a query meets only the simplices near it. A query
     that no simplex holds has the nearest simplex, the smallest id of equals, however far it is. It has null only
     if there are no simplices, or a coordinate is null or not finite.
     """
@@ -137,9 +149,10 @@ def locate(queries: DataFrame, simplices: DataFrame, points: DataFrame, dim: int
     placed = settle(with_coordinates(simplices, points, dim).select("id", "at"), "placed")
     finite = reduce(and_, [F.abs(F.col(a)) < float("inf") for a in names])
     asked = queries.select("qid", *names).where(finite)
-    celled = asked.select("*", *[F.floor(F.col(a) / width).cast("long").alias(f"c_{a}") for a in names])
+    fitted = _fitted(placed, names, width)
+    celled = asked.select("*", *[F.floor(F.col(a) / fitted).cast("long").alias(f"c_{a}") for a in names])
     vertices = [[F.col("at")[k][a] for a in names] for k in range(dim + 1)]
-    met = celled.join(_cells(placed, names, width), [f"c_{a}" for a in names])
+    met = celled.join(_cells(placed, names, fitted), [f"c_{a}" for a in names])
     held = settle(met.where(in_simplex(vertices, columns(names))).groupBy("qid").agg(F.min("id").alias("held")), "held")
     close = _nearest(settle(asked.join(held, "qid", "left_anti"), "open"), placed, names, width)
     return queries.select("qid").join(held, "qid", "left").join(close, "qid", "left").select("qid", F.coalesce("held", "close").alias("simplex_id"))

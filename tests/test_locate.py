@@ -41,3 +41,17 @@ def test_the_nearest_simplex_of_outer_queries(spark, dim):
         ties = [i for i, d in gaps.items() if d <= least + 1e-9 * max(1, least)]
         assert got[k] == min(ties)
     assert {r.simplex_id for r in locate.locate(queries, whole.limit(0), own, dim, 0.2).collect()} == {None}
+
+
+def test_cells_follow_the_density(spark, monkeypatch):
+    """Many simplices within one cell of the given width are dealt to smaller ones; the result is the same."""
+    rng = np.random.default_rng(3)
+    own = spark.createDataFrame([(k + 1, *map(float, p)) for k, p in enumerate(rng.random((300, 2)))], points.spatial_schema(2))
+    whole = settle(mesh.identified(mesh.mesh_of(own, 2)), "whole")
+    queries = spark.createDataFrame([(k, *map(float, p)) for k, p in enumerate(rng.random((100, 2)))], "qid long, x double, y double")
+    widths, cells = [], locate._cells
+    monkeypatch.setattr(locate, "_cells", lambda placed, names, width: (widths.append(width), cells(placed, names, width))[1])
+    got = {r.qid: r.simplex_id for r in locate.locate(queries, whole, own, 2, 5.0).collect()}
+    assert widths[0] < 0.1
+    monkeypatch.setattr(locate, "_fitted", lambda placed, names, width: width)
+    assert got == {r.qid: r.simplex_id for r in locate.locate(queries, whole, own, 2, 5.0).collect()}
