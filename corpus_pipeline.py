@@ -2,6 +2,9 @@
 
 STAGES are (name, function) pairs; a function takes (spark, docs, sf_dir) and returns a DataFrame. All but the
 last keep the columns of `documents`; each works on all rows that the one before kept.
+
+What the stages of quality and language return runs Python after they have returned, so they set the session's ARROW_BATCH for
+good: rows go to Python some megabytes at a time.
 """
 
 from __future__ import annotations
@@ -10,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import exact, langid, packing, quality, simhash
-from tessella.llm.common import settle, table
+from tessella.llm.common import ARROW_BATCH, ARROW_BYTES, settle, table
 
 #: A document goes if its language is learnt with less probability than this, or isn't known at all.
 LEAST_LANGUAGE = 0.35
@@ -33,11 +36,13 @@ def _row_key(sha: Column) -> Column:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the quality classifier rejects."""
+    spark.conf.set(ARROW_BATCH, ARROW_BYTES)
     return quality.keep_good(docs, table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")))
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents whose language can't be told."""
+    spark.conf.set(ARROW_BATCH, ARROW_BYTES)
     return langid.keep_known(docs, langid.fit(docs), LEAST_LANGUAGE)
 
 

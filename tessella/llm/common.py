@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +17,8 @@ from pyspark.sql import functions as F
 WORD = rb"[^\x20\x09-\x0d]+"
 #: Bytes of text that one vectorised step handles; a longer text is a step of its own.
 STEP_BYTES = 2 << 20
+#: Spark's setting for the bytes of rows that go to Python at once, and what it is where whole texts meet little memory.
+ARROW_BATCH, ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,6 +46,20 @@ def settle(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """What runs inside hands rows to Python in batches of about ARROW_BYTES; the session's own setting holds again afterwards.
+
+    A batch of Spark's 64 MB is in the JVM, twice while it grows, and in the worker, with its copies; neither gives all of that back.
+    """
+    before = spark.conf.get(ARROW_BATCH)
+    spark.conf.set(ARROW_BATCH, ARROW_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.set(ARROW_BATCH, before)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

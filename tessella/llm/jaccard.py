@@ -7,11 +7,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import lowered, mix, settle, span_keys, steps, table, texts_of, word_spans
+from tessella.llm.common import lowered, mix, settle, small_batches, span_keys, steps, table, texts_of, word_spans
 from tessella.llm.components import connected_components
 
 #: Shingles counted in SEEN texts come last in the order, by their counts; the order holds at most MOST of them. CHUNK are counted at once.
 SEEN, MOST, CHUNK = 8, 200_000, 4 << 20
+#: Bytes of text whose shingles are made at once: their arrays take some 50 times as much.
+STEP_TEXT = 512 << 10
 #: What writing a row of an index costs in comparisons of two rows, for the boundary between small and large sets.
 ROW_COST = 40
 #: Of this many tokens one is counted for that cost.
@@ -79,6 +81,16 @@ def _lists(owner: np.ndarray, n: int) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n))]).astype(np.int32)
 
 
+def _repeated(value: np.ndarray) -> pa.RecordBatch:
+    """(h, n): the values that occur twice or more, with their counts; sorts value in place, and takes little room besides."""
+    value.sort()
+    same = np.zeros(len(value) + 1, np.int8)
+    same[1:-1] = value[1:] == value[:-1]
+    turn = np.diff(same)
+    first, last = np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
+    return pa.RecordBatch.from_arrays([pa.array(value[first].view(np.int64)), pa.array(last - first + 1)], ["h", "n"])
+
+
 def _common(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     """The shingles of many texts, sorted, and their counts. Any order is exact; this one keeps groups small.
 
@@ -87,22 +99,20 @@ def _common(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     """
 
     def run(batches):
-        held, size = [], 0
-
-        def counted():
-            value, count = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(value[count > 1].view(np.int64)), pa.array(count[count > 1])], ["h", "n"])
-
+        held, size = np.empty(CHUNK, np.uint64), 0
         for batch in batches:
-            for part in steps(batch):
+            for part in steps(batch, most=STEP_TEXT):
                 _, value, _ = ordered(part.column(0), words, np.zeros(0, np.uint64), np.zeros(0, np.int64))
-                held.append(value)
-                size += len(value)
-                if size >= CHUNK:
-                    yield counted()
-                    held, size = [], 0
+                if size + len(value) > CHUNK:
+                    yield _repeated(held[:size])
+                    size = 0
+                if len(value) > CHUNK:
+                    yield _repeated(value)
+                else:
+                    held[size : size + len(value)] = value
+                    size += len(value)
         if size:
-            yield counted()
+            yield _repeated(held[:size])
 
     found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= SEEN)
     rows = found.orderBy(F.desc("n"), "h").limit(MOST).toArrow()
@@ -373,7 +383,7 @@ def _verified(pairs: DataFrame, each: DataFrame, texts: DataFrame, words: int, s
         for batch in batches:
             size = pa.compute.add(pa.compute.binary_length(batch.column(2)), pa.compute.binary_length(batch.column(3)))
             total = np.cumsum(np.asarray(size, np.int64))
-            cuts = np.flatnonzero(np.diff(total // (2 << 20), prepend=0)).tolist()
+            cuts = np.flatnonzero(np.diff(total // STEP_TEXT, prepend=0)).tolist()
             for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
                 if a == b:
                     continue
@@ -418,13 +428,19 @@ def jaccard_groups(docs: DataFrame, words: int = 4, share: tuple[int, int] = (85
     """
     if not 2 * share[0] > share[1] >= share[0] > 0:
         raise ValueError("the similarity must be over a half and at most 1")
+    with small_batches(docs.sparkSession):
+        return _groups_of(docs, words, share, carry, known, empty, small)
+
+
+def _groups_of(docs: DataFrame, words: int, share: tuple[int, int], carry: str | None, known: DataFrame | None, empty: bool, small: int | None) -> DataFrame:
+    """jaccard_groups; all that runs Python is written before it returns."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shared = spark.sparkContext.broadcast(_common(docs, words))
 
     def prefixes(batches):
         for batch in batches:
-            for part in steps(batch):
+            for part in steps(batch, most=STEP_TEXT):
                 owner, value, other = ordered(part.column(5), words, *shared.value, empty)
                 at = _lists(owner, part.num_rows)
                 n = np.diff(at).astype(np.int64)

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import WORD, settle
+from tessella.llm.common import WORD, settle, small_batches
 from tessella.llm.components import connected_components
 from tessella.llm.jaccard import jaccard_groups
 
@@ -262,9 +262,10 @@ def near_copy_groups(docs: DataFrame, words: int = 5, share: tuple[int, int] = (
     keep only pairs that have the similarity. Edge cases as in simhash_groups; a text of fewer words than a
     shingle is one shingle, and texts without words are copies of each other.
     """
-    each = settle(fingerprints(docs, words, carry), "fingerprints")
-    codes = settle(each.groupBy("fp").agg(F.min("key").alias("first"), F.count("*").alias("n")), "codes")
-    links = settle(near_links(codes.select("fp"), limit), "links")
+    with small_batches(docs.sparkSession):
+        each = settle(fingerprints(docs, words, carry), "fingerprints")
+        codes = settle(each.groupBy("fp").agg(F.min("key").alias("first"), F.count("*").alias("n")), "codes")
+        links = settle(near_links(codes.select("fp"), limit), "links")
     first = codes.select("fp", "first")
     across = links.join(first.toDF("a", "x"), "a").join(first.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     hot, rest = (codes.where(w).select("fp", "first") for w in (f"n >= {HOT_ROWS}", f"n > 1 and n < {HOT_ROWS}"))

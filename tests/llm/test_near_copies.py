@@ -2,12 +2,15 @@
 
 import random
 import re
+import tracemalloc
+import uuid
 
 import corpus_pipeline
 import numpy as np
 from pyspark.sql import functions as F
 
 from tessella.llm import jaccard, simhash
+from tessella.llm.common import ARROW_BATCH, ARROW_BYTES
 
 
 def shingles(text):
@@ -123,3 +126,37 @@ def test_copies_that_are_too_far_apart_make_few_pairs(spark, monkeypatch):
                 low, high = sorted((want[i], want[j]))
                 want = [low if w == high else w for w in want]
     assert [got[i] for i in range(len(rows))] == want
+
+
+def test_whole_texts_reach_python_in_small_batches(spark, monkeypatch, tmp_path):
+    """18 MB of text in one partition isn't one batch, in which the JVM and the worker would hold all of it; the session's setting is as before."""
+    r, real = random.Random(4), jaccard.steps
+    texts = [" ".join(r.randbytes(15).hex() for _ in range(1000)) for _ in range(600)]
+    docs = spark.createDataFrame([(i, t, str(i)) for i, t in enumerate(texts)], "doc_id long, text string, key string").coalesce(1)
+
+    def noted(batch, **most):
+        (tmp_path / uuid.uuid4().hex).write_text(str(batch.nbytes))
+        return real(batch, **most)
+
+    monkeypatch.setattr(jaccard, "steps", noted)
+    before = spark.conf.get(ARROW_BATCH)
+    assert jaccard.jaccard_groups(docs, 5, (4, 5), "key", empty=True).count() == len(texts)
+    sizes = [int(f.read_text()) for f in tmp_path.iterdir()]
+    assert sum(sizes) > 2 * 18e6 and max(sizes) < 2 * ARROW_BYTES
+    assert spark.conf.get(ARROW_BATCH) == before
+
+
+def test_counting_shingles_takes_little_room_besides_them():
+    r = np.random.default_rng(6)
+    jaccard._repeated(np.zeros(2, np.uint64))  # what Arrow imports at its first use doesn't count
+    for n in (0, 1, 2, 7, 1 << 20):
+        value = r.integers(0, max(1, n // 2), n).astype(np.uint64)
+        distinct, counts = np.unique(value, return_counts=True)
+        value = value.copy()
+        tracemalloc.start()
+        got = jaccard._repeated(value)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert np.array_equal(np.asarray(got.column(0)).view(np.uint64), distinct[counts > 1])
+        assert np.array_equal(np.asarray(got.column(1)), counts[counts > 1])
+        assert peak < 2 * value.nbytes + 100_000, (n, peak)  # np.unique takes over three times as much here
